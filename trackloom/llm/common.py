@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,7 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 512, limi
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
         begin, held = 0, 0
         for i, n in enumerate(size):
             if i > begin and (held + n > limit or i - begin >= rows):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, host_rules
+from . import chat, dedup, host_rules, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,12 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns))
 
 
+@_query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host rules, then naive Bayes over segmented host and path words."""
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies by streaming keyed state; the largest doc_id of equal texts stays."""
