@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, host_rules, urls
+from . import chat, dedup, host_rules, pieces, secret_scan, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by the base rules and by automata inferred from what those label."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations, and one of control strings, formatted into budgeted windows and read back."""
@@ -28,6 +35,12 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns))
 
 
+@_query
+def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded into pieces and decoded again."""
+    return pieces.encode_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host rules, then naive Bayes over segmented host and path words."""
