@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, host_rules, pieces, secret_scan, urls
+from . import chat, dedup, host_rules, packing, pieces, secret_scan, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,6 +68,12 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
+@_query
+def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in Hilbert order, cut into sequences of 1024 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
+
+
 _WORD = r"[^\x20\x09-\x0D]"
 ORACLES["op8_host_rules"] = rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
