@@ -49,14 +49,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 512, limi
         yield batch.slice(begin)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, column: str = "text", rows: int = 512) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, column: str = "text", rows: int = 512, limit: int = 4_000_000) -> DataFrame:
     """``mapInArrow`` over slices; ``fn`` returns columns by name, or None for no rows."""
     fields = [f.split(" ", 1) for f in schema.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
     types = [(name, kinds[kind]) for name, kind in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, column, rows):
+        for piece in slices(batches, column, rows, limit):
             out = fn(piece)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in types], schema=pa.schema(types))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, host_rules, packing, pieces, secret_scan, urls
+from . import chat, dedup, host_rules, langid, packing, pieces, secret_scan, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,13 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns))
 
 
+@_query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a conditional random field that learns from three quarters of them."""
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 @_query
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded into pieces and decoded again."""
