@@ -15,21 +15,20 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, mix
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Hashed features; the lexicon's come after them.
 FEATURES = 1 << 16
 #: Words of each language's lexicon.
 LEXICON = 400
-#: Distinct words that a task remembers.
-REMEMBERED = 200_000
 #: The label of texts without a letter.
 UNDETERMINED = "und"
 
@@ -38,12 +37,30 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def features(word: str) -> list[int]:
-    """Hashed affixes of one to three characters, 2- and 3-grams within the marked word, and the word itself."""
-    marked = f"^{word}$"
-    found = {f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3)), *(f"s{word[-k:]}" for k in (1, 2, 3))}
-    found.update(marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1))
-    return [zlib.crc32(f.encode()) % FEATURES for f in sorted(found)]
+def _hashed(kind: int, *codes: np.ndarray) -> np.ndarray:
+    h = np.full(codes[0].shape, kind + 1, dtype=np.uint64)
+    for c in codes:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + c)
+    return (h % np.uint64(FEATURES)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of non-empty words, and which word each is of: affixes of one to three characters, 2- and 3-grams of the word
+    between marks, and the word itself."""
+    codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    end = np.cumsum(size)
+    begin = end - size
+    of = np.repeat(np.arange(len(words)), size)
+    at = np.arange(len(codes)) - begin[of]
+    whole = np.add.reduceat(mix(codes + (at.astype(np.uint64) << np.uint64(32))), begin)
+    first = [codes[np.minimum(begin + k, end - 1)] for k in (1, 2, 3)]
+    last = [codes[np.maximum(end - 1 - k, begin)] for k in (1, 2, 3)]
+    two, three = np.flatnonzero(at < size[of] - 1), np.flatnonzero(at < size[of] - 2)
+    each = np.arange(len(words))
+    kinds = [(_hashed(0, whole), each), (_hashed(7, codes[two], codes[two + 1]), of[two]), (_hashed(8, codes[three], codes[three + 1], codes[three + 2]), of[three])]
+    kinds += [(_hashed(k, *first[:k]), each) for k in (1, 2, 3)] + [(_hashed(3 + k, *last[:k]), each) for k in (1, 2, 3)]
+    return np.concatenate([f for f, _ in kinds]), np.concatenate([o for _, o in kinds])
 
 
 @dataclass
@@ -55,13 +72,18 @@ class Field:
     moves: np.ndarray
     lexicon: dict[str, list[int]]
 
-    def rows(self, word: str) -> list[int]:
-        return features(word) + [FEATURES + k for k in self.lexicon.get(word, ())]
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``weight``, and the word that each counts for."""
+        row, of = features(words)
+        held = [(FEATURES + k, i) for i, ks in enumerate(map(self.lexicon.get, words)) if ks for k in ks]
+        more = np.array(held, dtype=np.int64).reshape(-1, 2)
+        return np.concatenate([row, more[:, 0]]), np.concatenate([of, more[:, 1]])
+
+    def sums(self, row: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(of, self.weight[row, k], n) for k in range(len(self.labels))], axis=1)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        rows = [self.rows(w) for w in words]
-        at = np.cumsum([0] + [len(r) for r in rows[:-1]])
-        return np.add.reduceat(self.weight[np.concatenate([np.array(r) for r in rows])], at, axis=0) if rows else np.zeros((0, len(self.labels)))
+        return self.sums(*self.rows(words), len(words)) if words else np.zeros((0, len(self.labels)))
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,16 +129,13 @@ def fit(segments: list[tuple[str, list[str]]], rounds: int = 40, rate: float = 0
     field = Field(labels, np.zeros((FEATURES + n, n)), np.zeros((n, n)), lexicon)
     shuffled = [segments[i] for i in np.random.default_rng(11).permutation(len(segments))]
     chains = [shuffled[i : i + 3] for i in range(0, len(shuffled), 3)]
-    words = [w for chain in chains for _, part in chain for w in part]
-    truth = np.array([place[lang] for chain in chains for lang, part in chain for _ in part])
-    lengths = np.array([sum(len(part) for _, part in chain) for chain in chains])
+    words = [w for group in chains for _, part in group for w in part]
+    truth = np.array([place[lang] for group in chains for lang, part in group for _ in part])
+    lengths = np.array([sum(len(part) for _, part in group) for group in chains])
     kinds = sorted(set(words))
     code = {w: i for i, w in enumerate(kinds)}
     which = np.array([code[w] for w in words])
-    rows = [field.rows(w) for w in kinds]
-    flat = np.concatenate([np.array(r) for r in rows])
-    of = np.repeat(np.arange(len(kinds)), [len(r) for r in rows])
-    starts = np.cumsum([0] + [len(r) for r in rows[:-1]])
+    flat, of = field.rows(kinds)
     inner = np.ones(len(words), dtype=bool)
     inner[np.cumsum(lengths) - lengths] = False
     inner = np.flatnonzero(inner)
@@ -125,7 +144,7 @@ def fit(segments: list[tuple[str, list[str]]], rounds: int = 40, rate: float = 0
     np.add.at(gold_moves, (truth[inner - 1], truth[inner]), 1)
     seen, seen_moves = np.full_like(field.weight, 1e-8), np.full_like(field.moves, 1e-8)
     for _ in range(rounds):
-        scores = np.add.reduceat(field.weight[flat], starts, axis=0)[which]
+        scores = field.sums(flat, of, len(kinds))[which]
         local, ahead, back = forward_backward(scores, lengths, field.moves)
         p = ahead * back
         p /= p.sum(axis=1, keepdims=True)
@@ -168,34 +187,16 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_doc
     return [(r.lang, list(r.words)) for r in rows if r.words]
 
 
-class Labeller:
-    """Labels texts; words' scores are remembered up to a bound."""
-
-    def __init__(self, field: Field):
-        self.field, self.known, self.table = field, {}, np.zeros((0, len(field.labels)))
-
-    def codes(self, words: list[str]) -> np.ndarray:
-        new = set(words) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.table = {}, self.table[:0]
-            new = set(words)
-        if new:
-            fresh = sorted(new)
-            at = len(self.known)
-            self.known.update(zip(fresh, range(at, at + len(fresh))))
-            self.table = np.concatenate([self.table, self.field.scores(fresh)])
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-
-    def label(self, texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
-        """Words and their label probabilities, per text."""
-        split = [words_of(t) for t in texts]
-        lengths = np.array([len(w) for w in split], dtype=np.int64)
-        codes = self.codes([w for words in split for w in words])
-        scores = self.table[codes]
-        p = posteriors(scores, lengths[lengths > 0], self.field.moves) if lengths.sum() else scores
-        ends = np.cumsum(lengths)
-        for words, end in zip(split, ends, strict=True):
-            yield words, p[end - len(words) : end]
+def label(field: Field, texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Words and their label probabilities, per text. A batch's distinct words are scored once."""
+    split = [words_of(t) for t in texts]
+    lengths = np.array([len(w) for w in split], dtype=np.int64)
+    words = list(chain.from_iterable(split))
+    code = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    which = np.fromiter(map(code.__getitem__, words), dtype=np.int64, count=len(words))
+    p = posteriors(field.scores(list(code))[which], lengths[lengths > 0], field.moves)
+    for words, end in zip(split, np.cumsum(lengths), strict=True):
+        yield words, p[end - len(words) : end]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 1500, train_words: int = 120) -> Field | None:
@@ -209,16 +210,14 @@ def predict(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_c
 
     Null texts and those without a letter are ``und`` with score 0, as are all where the field is None. Ties go to the first label."""
     held = docs.sparkSession.sparkContext.broadcast(field)  # FEATURES + labels rows
-    made: dict = {}
 
     def run(batch: pa.RecordBatch) -> dict:
         ids, out = batch.column(0), batch.column(2)
         field = held.value
         if field is None:
             return {"doc_id": ids, "held_out": out, "lang_pred": [UNDETERMINED] * len(ids), "score": [0.0] * len(ids)}
-        labeller = made.get("it") or made.setdefault("it", Labeller(field))
         pred, score = [], []
-        for words, p in labeller.label(batch.column(1).to_pylist()):
+        for words, p in label(field, batch.column(1).to_pylist()):
             if words:
                 size = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
                 share = size @ p / size.sum()
@@ -239,7 +238,7 @@ def label_words(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     held = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batch: pa.RecordBatch) -> dict:
-        pairs = list(Labeller(held.value).label(batch.column(1).to_pylist()))
+        pairs = list(label(held.value, batch.column(1).to_pylist()))
         return {"doc_id": batch.column(0), "words": [w for w, _ in pairs], "labels": [[held.value.labels[k] for k in p.argmax(axis=1)] for _, p in pairs]}
 
     return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, words array<string>, labels array<string>")
