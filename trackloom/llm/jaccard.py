@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # first round: each set against pivots of its lists
     blocked = lists.select("list", "times", "sid", "n", F.explode(F.array(F.struct(F.lit(0).alias("k"), _block(F.col("n"), 0.0).alias("b")), F.struct(F.lit(1).alias("k"), _block(F.col("n"), 0.5).alias("b")))).alias("at")).select("list", "times", "sid", "n", "at.k", "at.b")
     pivots = blocked.groupBy("list", "k", "b").agg(F.min("sid").alias("pivot"))
-    star = blocked.join(pivots, ["list", "k", "b"]).where("sid <> pivot").groupBy("sid", "pivot", "k").agg(F.sum("times").alias("c"))
+    star = blocked.join(pivots, ["list", "k", "b"]).where("sid <> pivot").groupBy("sid", "n", "pivot", "k").agg(F.sum("times").alias("c"))
+    star = star.where(F.col("c") >= 1 + F.floor(F.col("n") / 10))  # fewer may still match in the second round
     best = star.groupBy("sid", "k").agg(F.max(F.struct("c", -F.col("pivot"))).alias("x")).select(F.col("sid").alias("a"), (-F.col("x.col2")).alias("b")).distinct()
     roots = stage(components(verified(stage(best), sets, docs, id_col, text_col)))
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, host_rules, jaccard, langid, packing, pieces, secret_scan, urls
+from . import chat, dedup, host_rules, jaccard, langid, packing, pieces, repeats, secret_scan, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,24 @@ rates AS (SELECT source, round((k + m * w) / (n + w), 9) AS host_rate FROM hosts
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= 0.5 AS kept, host_rate
 FROM f LEFT JOIN rates ON f.source IS NOT DISTINCT FROM rates.source
 """
+
+
+@_query
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 100-byte strings that start earlier, removed from all documents."""
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLES["op10_repeats"] = """
+WITH docs AS (SELECT doc_id, upper(hex(encode(coalesce(text, '')))) AS h FROM documents),
+strings AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 99)) AS i FROM docs)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM strings) WHERE r > 1),
+ends AS (SELECT doc_id, i AS a, max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS z FROM later),
+runs AS (SELECT doc_id, a, sum(CASE WHEN z IS NULL OR a > z THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a) AS run FROM ends),
+spans AS (SELECT doc_id, run, min(a) AS a, max(a) + 100 AS z FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, z, lag(z, 1, CAST(0 AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans),
+cut AS (SELECT g.doc_id, count(*) AS n_spans, sum(z - a) AS gone, max(z) AS tail, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS left_part FROM gaps g JOIN docs d ON g.doc_id = d.doc_id GROUP BY g.doc_id)
+SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(coalesce(left_part || substr(h, 2 * tail + 1), h))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""
