@@ -1,13 +1,51 @@
-"""A corpus pipeline over ``documents``: each stage works on what the one before kept."""
+"""A corpus pipeline over ``documents``: each stage works on what the one before kept, and all but the last return whole documents.
+
+The stages, in order: documents in no learned language go; exact copies go; of each class of near duplicates one document stays;
+secrets are masked; what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trackloom.llm import dedup, jaccard, langid, packing, secret_scan
 from trackloom.llm.common import stage
 
-STAGES: list = []
+#: Least share of the letters that a document's language has; four languages alike would give each a quarter.
+LEAST_SHARE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents with letters, most of them in one learned language."""
+    return langid.keep_identified(docs, langid.train(docs), least=LEAST_SHARE)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the largest id of equal texts."""
+    return dedup.drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each class of similar shingle sets."""
+    classes = stage(jaccard.near_duplicates(docs).select("doc_id", "component_id"))
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets in texts."""
+    return secret_scan.mask_secrets(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens."""
+    return packing.pack(docs).drop("ids")
+
+
+STAGES = [("language_id", language_id), ("exact_copies", exact_copies), ("near_copies", near_copies), ("secrets", secrets), ("packed", packed)]
 
+#: The first, fourth and fifth stages have no SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -33,6 +33,26 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete a staged table that nothing still to be run reads."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if folder.getName().startswith("trackloom-"):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text", limit: int = 4_000_000) -> DataFrame:
+    """Whole rows through ``fn``, which drops some or changes values; all columns stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, column, 4096, limit):
+            yield fn(piece)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 512, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a piece has few rows and few bytes in ``column`` (a longer row stands alone)."""
     for batch in batches:

@@ -93,3 +93,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = apart.groupBy("digest", "text").agg(F.count("*").alias("group_size"), F.max_by(F.struct("doc_id", "row"), rank).alias("last"))
     parted = apart.join(groups, ["digest", "text"]).select("doc_id", "digest", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"))
     return out.join(clashes, "digest", "left_anti").select(parted.columns).unionByName(parted)
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without exact copies, all columns as they are; of equal texts the row with the largest id stays."""
+    found = stage(exact_dedup(docs, id_col, text_col).select("doc_id", "kept"))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone"))
+    if found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
+    # ids repeat or are missing: rows get numbers of their own, in the order of their ids
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    order = F.struct(F.coalesce(id_col, F.lit(-(2**63))), "_row")
+    stay = rows.groupBy(sha256(normalised(F.col(text_col))).alias("digest"), normalised(F.col(text_col)).alias("whole")).agg(F.max(order).alias("last")).select(F.col("last._row").alias("stay"))
+    return rows.join(stay, F.col("_row") == F.col("stay"), "left_semi").drop("_row")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix
+from .common import arrow_map, map_rows, mix
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Hashed features; the lexicon's come after them.
@@ -205,6 +205,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(segments) if segments else None
 
 
+def judge(field: Field | None, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+    """Language and score of each text."""
+    if field is None:
+        yield from ((UNDETERMINED, 0.0) for _ in texts)
+        return
+    for words, p in label(field, texts):
+        if words:
+            size = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
+            share = size @ p / size.sum()
+            k = int(share.argmax())
+            yield field.labels[k], min(1.0, float(share[k]))
+        else:
+            yield UNDETERMINED, 0.0
+
+
 def predict(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (its share of the letters in expectation, 0 to 1).
 
@@ -212,27 +227,24 @@ def predict(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_c
     held = docs.sparkSession.sparkContext.broadcast(field)  # FEATURES + labels rows
 
     def run(batch: pa.RecordBatch) -> dict:
-        ids, out = batch.column(0), batch.column(2)
-        field = held.value
-        if field is None:
-            return {"doc_id": ids, "held_out": out, "lang_pred": [UNDETERMINED] * len(ids), "score": [0.0] * len(ids)}
-        pred, score = [], []
-        for words, p in label(field, batch.column(1).to_pylist()):
-            if words:
-                size = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
-                share = size @ p / size.sum()
-                k = int(share.argmax())
-                pred.append(field.labels[k])
-                score.append(min(1.0, float(share[k])))
-            else:
-                pred.append(UNDETERMINED)
-                score.append(0.0)
-        return {"doc_id": ids, "held_out": out, "lang_pred": pred, "score": score}
+        pred, score = zip(*judge(held.value, batch.column(1).to_pylist()), strict=True)
+        return {"doc_id": batch.column(0), "held_out": batch.column(2), "lang_pred": pred, "score": score}
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
     return arrow_map(named, run, "doc_id long, held_out boolean, lang_pred string, score double", rows=4096, limit=8_000_000)
 
 
+def keep_identified(docs: DataFrame, field: Field | None, least: float, text_col: str = "text") -> DataFrame:
+    """Documents, all columns as they are, whose language is determined with a score of ``least`` or more."""
+    held = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+        return batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in judge(held.value, texts)]))
+
+    return map_rows(docs, run, text_col, 8_000_000)
+
+
 def label_words(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, words, labels (a label for each word); both empty where there is no letter."""
     held = docs.sparkSession.sparkContext.broadcast(field)

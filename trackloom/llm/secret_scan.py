@@ -15,10 +15,10 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stage
+from .common import arrow_map, map_rows, stage
 
 #: The base rules, in the order in which kinds are listed; fixed values.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -191,6 +191,12 @@ def sample_tokens(docs: DataFrame, text_col: str, most: int) -> dict[str, list[s
     return out
 
 
+def all_spans(text: str, grammar: Grammar) -> list[tuple[str, int, int]]:
+    """Base spans and those that the grammar adds."""
+    found = base(text)
+    return [x[:3] for x in found] + [("format", s, e) for s, e in tokens(text, found) if MIXED.search(text, s, e) and grammar.accepts(text[s:e])]
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2000) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_format, base_sha256, spans.
 
@@ -203,15 +209,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {n: [] for n in ("doc_id", "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans")}
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = text or ""
-            found = base(text)
-            own = [x[:3] for x in found]
-            more = [("format", s, e) for s, e in tokens(text, found) if MIXED.search(text, s, e) and held.value.accepts(text[s:e])]
+            found = all_spans(text or "", held.value)
+            own = [x for x in found if x[0] != "format"]
             out["doc_id"].append(doc)
             for n, kind in enumerate(KINDS):
-                out[f"n_{kind}"].append(sum(k == kind for k, _, _ in own + more))
+                out[f"n_{kind}"].append(sum(k == kind for k, _, _ in found))
             out["base_sha256"].append(hashlib.sha256(joined(own).encode()).hexdigest())
-            out["spans"].append(joined(own + more))
+            out["spans"].append(joined(found))
         return out
 
     return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
@@ -222,14 +226,29 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]))))
 
 
-def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with the characters under any span replaced; overlapping spans become one mark."""
-    at = F.transform(F.filter(F.split(spans, ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("s"), F.split(s, ":")[2].cast("int").alias("e")))
-    none = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def mask(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]") -> str:
+    """The text with what lies under any span replaced; spans that overlap become one mark."""
+    out, at = [], 0
+    for _, s, e in sorted(spans, key=lambda x: x[1:]):
+        if s >= at:
+            out += [text[at:s], mark]
+        at = max(at, e)
+    return "".join(out) + text[at:]
 
-    def step(a: Column, s: Column) -> Column:
-        """Spans come by start: one that begins before the last end only lengthens what is hidden."""
-        fresh = F.struct(F.concat(a["out"], F.substr(text, a["at"] + 1, s["s"] - a["at"]), F.lit(mark)).alias("out"), s["e"].alias("at"))
-        return F.when(s["s"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], s["e"]).alias("at"))).otherwise(fresh)
 
-    return F.when(spans == "", text).otherwise(F.aggregate(at, none, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1))))
+def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2000) -> DataFrame:
+    """The documents with every found secret masked; n_chars, where there is such a column, follows. Null texts stay null."""
+    told = sample_tokens(docs, text_col, most)
+    held = docs.sparkSession.sparkContext.broadcast(learn({k: told[k] for k in ("assign", "access", "hex")}, told["word"]))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+        new = [t and mask(t, all_spans(t, held.value)) for t in texts]
+        columns = {f.name: batch.column(k) for k, f in enumerate(batch.schema)}
+        columns[text_col] = pa.array(new, pa.string())
+        if "n_chars" in columns:
+            sizes = columns["n_chars"].to_pylist()
+            columns["n_chars"] = pa.array([n if a == b else len(b) for n, a, b in zip(sizes, texts, new, strict=True)], columns["n_chars"].type)
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return map_rows(docs, run, text_col)
