@@ -28,8 +28,9 @@ DIMS, BITS = 4, 12
 #: differ; texts with others are split by the encoder itself.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")
 _OTHER = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
+_CONTROL = re.compile("[\x1c-\x1f]")
 #: Distinct words that a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class Encoder:
@@ -43,7 +44,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def miss(self, word: str) -> bytes:
-        ids = np.array(self.model.encode_ordinary(word), dtype="<u2").tobytes()
+        ids = np.array(self.model._encode_single_piece(word), dtype="<u2").tobytes()
         if len(word) <= 48:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -51,7 +52,7 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if _OTHER.search(text):
+        if (_CONTROL if text.isascii() else _OTHER).search(text):
             return np.array(self.model.encode_ordinary(text), dtype="<u2")
         get, miss = self.known.get, self.miss
         return np.frombuffer(b"".join([get(w) or miss(w) for w in _SPLIT.findall(text)]), dtype="<u2")
@@ -93,14 +94,14 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _directions(n_ids: int) -> np.ndarray:
-    return np.random.default_rng(7).choice(np.array([-1.0, 1.0]), size=(n_ids, DIMS))
+    return np.random.default_rng(7).choice(np.array([-1, 1], dtype=np.float32), size=(n_ids, DIMS))
 
 
 def curve_key(ids: list[np.ndarray], n_ids: int = 1 << 16) -> np.ndarray:
     """Hilbert keys of documents. A coordinate is the mean sign over the document's tokens, which word choice shifts by some
     hundredths whatever the length; the logistic curve spreads it over the cells."""
     axes = _directions(n_ids)
-    mean = np.array([axes[x].mean(axis=0) if len(x) else np.zeros(DIMS) for x in ids])
+    mean = np.array([axes[x].mean(axis=0, dtype=np.float64) if len(x) else np.zeros(DIMS) for x in ids])
     share = 1 / (1 + np.exp(-12 * mean))
     return hilbert(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
