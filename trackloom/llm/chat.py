@@ -42,7 +42,7 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256, con
     exclusive), n_tokens.
 
     Turns are ordered by turn, role and text; nulls sort first, and null roles and texts are empty. A turn is never cut:
-    one longer than the budget stands alone in its window. A first turn of role ``system`` leads every window. Rows
+    one longer than the budget stands in its window with the system turn alone. A first turn of role ``system`` leads every window. Rows
     without conv_id form one conversation. ``tokens`` counts a text's tokens (an estimate unless given)."""
     given = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
@@ -60,6 +60,11 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256, con
     turn = F.struct("at", "role", "text", "lead", "size", "before", "end", "past_at", "past_before")
     convs = reach.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     led = convs.withColumn("n_lead", F.get("turns", 0)["lead"].cast("int")).withColumn("lead_size", F.when(F.col("n_lead") == 1, F.get("turns", 0)["size"]).otherwise(0))
+    # history that leaves a turn no room is not repeated before it
+    fits = lambda t: t["end"] - t["past_before"] + F.col("lead_size") <= budget
+    led = led.withColumn("turns", F.transform("turns", lambda t: F.struct(
+        t["at"], t["role"], t["text"], t["lead"], t["size"], t["before"], t["end"], F.when(fits(t), t["past_at"]).otherwise(t["at"]).alias("past_at"), F.when(fits(t), t["past_before"]).otherwise(t["before"]).alias("past_before"),
+    )))
 
     def fold(s: Column, t: Column) -> Column:
         room = t["past_before"] + F.lit(budget) - F.col("lead_size")
