@@ -27,6 +27,8 @@ from .packing import starts
 GRAM, LENGTH = 24, 100
 #: Positions worked on at once.
 CHUNK = 1 << 20
+#: Bytes of contexts in an index, but for an anchor's own that are more.
+INDEXED = 1 << 20
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, size=256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,9 +128,10 @@ def contexts(texts: DataFrame, length: int, parts: int) -> DataFrame:
         for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             raw = _raw(text)
             place, h, first, last = anchors(raw, length)
-            for i in np.flatnonzero(np.isin(place, places)):
-                a = int(first[i])
-                held.setdefault((int(h[i] % np.uint64(parts)), int(place[i]) - a, raw[a : int(last[i]) + length]), []).append((doc, a))
+            hit = np.isin(place, places)
+            part = (h[hit].astype(np.uint64) % np.uint64(parts)).tolist()
+            for k, a, z, at in zip(part, first[hit].tolist(), (last[hit] + length).tolist(), place[hit].tolist(), strict=True):
+                held.setdefault((k, at - a, raw[a:z]), []).append((doc, a))
         if not held:
             return None
         by_part: dict[int, list] = {}
@@ -145,31 +148,37 @@ def contexts(texts: DataFrame, length: int, parts: int) -> DataFrame:
     return arrow_map(texts, deal, "part int, bytes binary, sizes binary, anchors binary, times binary, docs binary, starts binary", rows=4096, limit=8_000_000).repartition(parts, "part")
 
 
-def could_share(distinct: list[bytes], at: np.ndarray, length: int, most: int = 16) -> np.ndarray:
-    """Whether a context could share a string with another of its anchor: how far two agree to both sides of the anchor. Contexts of
-    anchors with more than ``most`` contexts are not compared and all could."""
-    gram: dict[bytes, int] = {}
-    group = np.array([gram.setdefault(c[a : a + GRAM], len(gram)) for c, a in zip(distinct, at.tolist(), strict=True)])
-    out = np.bincount(group)[group] > most
+def could_share(distinct: list[bytes], at: np.ndarray, group: np.ndarray, length: int, most: int = 16) -> np.ndarray:
+    """Whether a context could share a string with another of its anchor (equal ``group``): how far two agree to both sides of the
+    anchor. Contexts of anchors with more than ``most`` contexts are not compared and all could."""
+    many = np.bincount(group)[group]
+    out = many > most
     order = np.argsort(group, kind="stable")
-    order = order[~out[order] & (np.bincount(group)[group] > 1)[order]]
+    order = order[(~out & (many > 1))[order]]
     reach = length - GRAM
     size = np.array([len(distinct[i]) for i in order.tolist()], dtype=np.int64)
     joined = np.frombuffer(b"".join([distinct[i] for i in order.tolist()]) + bytes(reach), dtype=np.uint8)
     anchor = np.cumsum(size) - size + at[order]
     left, right = at[order], size - at[order] - GRAM
+
+    def agree(a: np.ndarray, b: np.ndarray, room: np.ndarray, way: int) -> np.ndarray:
+        """How many bytes agree from a and b on; pairs leave as they part."""
+        n, on = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
+        for k in range(reach):
+            on = on[k < room[on]]
+            on = on[joined[a[on] + way * k] == joined[b[on] + way * k]]
+            if not len(on):
+                break
+            n[on] += 1
+        return n
+
     for d in range(1, most):
         i = np.flatnonzero(group[order[d:]] == group[order[:-d]])
-        j = i + d
         if not len(i):
             break
-        ahead, back = np.zeros(len(i), dtype=np.int64), np.zeros(len(i), dtype=np.int64)
-        on_a, on_b = np.ones(len(i), dtype=bool), np.ones(len(i), dtype=bool)
-        for k in range(reach):
-            on_a &= (k < np.minimum(right[i], right[j])) & (joined[anchor[i] + GRAM + k] == joined[anchor[j] + GRAM + k])
-            on_b &= (k < np.minimum(left[i], left[j])) & (joined[anchor[i] - 1 - k] == joined[anchor[j] - 1 - k])
-            ahead += on_a
-            back += on_b
+        j = i + d
+        ahead = agree(anchor[i] + GRAM, anchor[j] + GRAM, np.minimum(right[i], right[j]), 1)
+        back = agree(anchor[i] - 1, anchor[j] - 1, np.minimum(left[i], left[j]), -1)
         hit = ahead + back + GRAM >= length
         out[order[i[hit]]] = out[order[j[hit]]] = True
     return out
@@ -198,8 +207,6 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 def same_strings(distinct: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions in the joined contexts, of suffixes in order; group numbers): equal numbers are equal strings of ``length`` bytes. Contexts are joined
     with a separator after each."""
-    if not distinct:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     joined = np.concatenate([np.append(np.frombuffer(c, dtype=np.uint8).astype(np.int32) + 1, 0) for c in distinct])
     n = len(joined)
     # two distinct contexts differ before their ends, so a match runs through one separator at most
@@ -226,56 +233,71 @@ def same_strings(distinct: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     return order, np.cumsum(statistic[order] < length)
 
 
+def _later(distinct: list[bytes], own_doc: np.ndarray, own_begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and stretches of strings that occur earlier in another of these contexts."""
+    size = np.array([len(c) for c in distinct], dtype=np.int64)
+    order, group = same_strings(distinct, length)
+    n = len(order)
+    owner = np.repeat(np.arange(len(distinct)), size + 1)
+    offset = np.arange(n) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
+    valid = (offset + length <= size[owner])[order]
+    rows, group = order[valid], group[valid]
+    _, who = np.unique(own_doc, return_inverse=True)
+    key = (who[owner[rows]].astype(np.int64) << 40) | (own_begin[owner[rows]] + offset[rows])
+    cut = np.flatnonzero(np.diff(group, prepend=-1))
+    least = np.repeat(np.minimum.reduceat(key, cut), np.diff(np.append(cut, len(group))))
+    later = np.zeros(n, dtype=bool)
+    later[rows[key > least]] = True
+    # neighbouring string starts are one stretch
+    edge = np.diff(later.astype(np.int8), prepend=0, append=0)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    return own_doc[owner[begin]], own_begin[owner[begin]] + offset[begin], own_begin[owner[begin]] + offset[end] + length
+
+
 def repeats(packed: DataFrame, length: int) -> DataFrame:
     """doc_id, a, z: stretches of bytes covered by strings that occur earlier."""
 
     def find(batches):
         unpress = zstandard.ZstdDecompressor()
-        held: dict[tuple[int, bytes], list] = {}
+        number: dict[tuple[int, bytes], int] = {}
+        which, docs, begins = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         for batch in batches:
-            for raw, sizes, ats, times, docs, begin in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for raw, sizes, ats, times, doc, begin in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 raw = unpress.decompress(raw)
-                docs, begin = np.frombuffer(docs, dtype=np.int64), np.frombuffer(begin, dtype=np.int64)
-                at = j = 0
-                for size, anchor, n in zip(*(np.frombuffer(x, dtype=np.int32).tolist() for x in (sizes, ats, times)), strict=True):
-                    held.setdefault((anchor, raw[at : at + size]), []).append((docs[j : j + n], begin[j : j + n]))
-                    at, j = at + size, j + n
-        if not held:
+                ends = np.cumsum(np.frombuffer(sizes, dtype=np.int32)).tolist()
+                own = [number.setdefault((at, raw[a:z]), len(number)) for at, a, z in zip(np.frombuffer(ats, dtype=np.int32).tolist(), [0, *ends], ends)]
+                which.append(np.repeat(np.array(own, dtype=np.int64), np.frombuffer(times, dtype=np.int32)))
+                docs.append(np.frombuffer(doc, dtype=np.int64))
+                begins.append(np.frombuffer(begin, dtype=np.int64))
+        if not number:
             return
-        distinct = [c for _, c in held]
-        out_doc, out_a, out_z = [], [], []
-        own_doc, own_start = np.empty(len(distinct), dtype=np.int64), np.empty(len(distinct), dtype=np.int64)
-        for i, (c, where) in enumerate(zip(distinct, held.values(), strict=True)):
-            doc, start = (np.concatenate(x) for x in zip(*where, strict=True))
-            first = np.lexsort((start, doc))[0]
-            own_doc[i], own_start[i] = doc[first], start[first]
-            later = np.arange(len(doc)) != first
-            out_doc.append(doc[later])
-            out_a.append(start[later])
-            out_z.append(start[later] + len(c))
-        keep = np.flatnonzero(could_share(distinct, np.array([at for at, _ in held]), length))
-        held, distinct, own_doc, own_start = None, [distinct[i] for i in keep], own_doc[keep], own_start[keep]
+        distinct, at = [c for _, c in number], np.array([a for a, _ in number])
+        number = None
         size = np.array([len(c) for c in distinct], dtype=np.int64)
-        order, group = same_strings(distinct, length)
-        n = len(order)
-        owner = np.repeat(np.arange(len(distinct)), size + 1)
-        offset = np.arange(n) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
-        full = offset + length <= size[owner]
-        valid = full[order]
-        rows, group = order[valid], group[valid]
-        _, who = np.unique(own_doc, return_inverse=True)
-        key = (who[owner[rows]].astype(np.int64) << 40) | (own_start[owner[rows]] + offset[rows])
-        cut = np.flatnonzero(np.diff(group, prepend=-1))
-        least = np.repeat(np.minimum.reduceat(key, cut), np.diff(np.append(cut, len(group)))) if len(cut) else key
-        later = np.zeros(n, dtype=bool)
-        later[rows[key > least]] = True
-        # neighbouring string starts are one stretch
-        edge = np.diff(later.astype(np.int8), prepend=0, append=0)
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-        out_doc.append(own_doc[owner[begin]])
-        out_a.append(own_start[owner[begin]] + offset[begin])
-        out_z.append(own_start[owner[begin]] + offset[end] + length)
-        doc, a, z = np.concatenate(out_doc), np.concatenate(out_a), np.concatenate(out_z)
+        which, doc, begin = (np.concatenate(x) for x in (which, docs, begins))
+        order = np.lexsort((begin, doc, which))
+        which, doc, begin = which[order], doc[order], begin[order]
+        first = np.concatenate([[True], which[1:] != which[:-1]])
+        own_doc, own_begin = doc[first], begin[first]
+        yield from stretches(doc[~first], begin[~first], begin[~first] + size[which[~first]])
+        # what distinct contexts of an anchor share, an index for some anchors at a time
+        gram: dict[bytes, int] = {}
+        group = np.array([gram.setdefault(c[a : a + GRAM], len(gram)) for c, a in zip(distinct, at.tolist(), strict=True)])
+        gram = None
+        keep = np.flatnonzero(could_share(distinct, at, group, length))
+        keep = keep[np.argsort(group[keep], kind="stable")]
+        if not len(keep):
+            return
+        share = np.cumsum(size[keep]) // INDEXED
+        new_group = np.concatenate([[True], group[keep][1:] != group[keep][:-1]])
+        # an anchor's contexts stay in the index where its first one is
+        share = np.maximum.accumulate(np.where(new_group, share, 0))
+        cuts = np.flatnonzero(np.diff(share, prepend=-1))
+        for a, z in zip(cuts, np.append(cuts[1:], len(keep)), strict=True):
+            pick = keep[a:z]
+            yield from stretches(*_later([distinct[i] for i in pick.tolist()], own_doc[pick], own_begin[pick], length))
+
+    def stretches(doc, a, z):
         for i in range(0, len(doc), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (doc, a, z)], ["doc_id", "a", "z"])
 
