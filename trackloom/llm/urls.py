@@ -1,7 +1,7 @@
 """URL filter: host rules first, then naive Bayes over words that a unigram Viterbi finds in host names.
 
-Word counts come from all page texts; the lexicon keeps the ``lexicon_size`` most frequent words (a parameter of the
-model). Names are segmented once per distinct host. Naive Bayes is multinomial over hashed tokens, so its table has
+Word counts come from all page texts; the lexicon keeps the most frequent words, ``lexicon_size`` at most (a parameter
+of the model). Names are segmented once per distinct host. Naive Bayes is multinomial over hashed tokens, so its table has
 ``2 * buckets`` counts at any scale; it learns from every URL that a rule decides.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, stage
 
 #: (verdict, host, path); the longest that fits wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -50,8 +50,18 @@ def word_counts(texts: Column, table: DataFrame) -> DataFrame:
 
 
 def lexicon(counts: DataFrame, lexicon_size: int) -> dict[str, float]:
-    """Log probability of the ``lexicon_size`` most frequent words (ties by word)."""
-    top = counts.orderBy(F.desc("n"), "word").limit(lexicon_size).toPandas()
+    """Log probability of the most frequent words, ``lexicon_size`` at most: all whose count lies in the highest eighths of powers of two that hold no
+    more words than that. The driver gets some hundred sums and then the words themselves."""
+    counts = stage(counts.withColumn("eighth", F.floor(F.log2("n") * 8)))
+    cut, held = None, 0
+    for r in sorted(counts.groupBy("eighth").count().collect(), key=lambda r: -r.eighth):
+        held += r["count"]
+        if held > lexicon_size:
+            break
+        cut = r.eighth
+    if cut is None:
+        return {}
+    top = counts.where(F.col("eighth") >= cut).select("word", "n").orderBy(F.desc("n"), "word").toPandas()
     total = max(1, int(top["n"].sum()))
     return {w: math.log(n / total) for w, n in zip(top["word"], top["n"], strict=True)}
 
