@@ -76,6 +76,15 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers in four bytes each where they fit, else in eight."""
+    return x.astype("<u4" if not len(x) or 0 <= x.min() and x.max() < 1 << 32 else "<i8").tobytes()
+
+
+def _unpack(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<u4" if len(raw) == 4 * n else "<i8").astype(np.int64)
+
+
 def _grouped(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """An order by part, and each part's stretch of it."""
     order = np.argsort(part, kind="stable")
@@ -97,15 +106,17 @@ def repeated_anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
             return None
         part = (h % np.uint64(parts)).astype(np.int64)
         order, cuts = _grouped(part)
-        return {"part": [int(part[order[a]]) for a, _ in cuts], "hashes": [h[order[a:z]].tobytes() for a, z in cuts], "docs": [doc[order[a:z]].tobytes() for a, z in cuts], "places": [place[order[a:z]].tobytes() for a, z in cuts]}
+        return {"part": [int(part[order[a]]) for a, _ in cuts], "hashes": [h[order[a:z]].tobytes() for a, z in cuts], "docs": [_pack(doc[order[a:z]]) for a, z in cuts], "places": [_pack(place[order[a:z]]) for a, z in cuts]}
 
     dealt = arrow_map(docs, deal, "part int, hashes binary, docs binary, places binary", rows=4096, limit=8_000_000).repartition(parts, "part")
 
     def gather(batches):
         held = [[], [], []]
         for batch in batches:
-            for k in range(3):
-                held[k] += [np.frombuffer(x, dtype=np.uint64 if not k else np.int64) for x in batch.column(k).to_pylist()]
+            for h, doc, place in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                held[0].append(np.frombuffer(h, dtype=np.uint64))
+                held[1].append(_unpack(doc, len(h) // 8))
+                held[2].append(_unpack(place, len(h) // 8))
         if not held[0]:
             return
         h, doc, place = (np.concatenate(x) for x in held)
@@ -141,7 +152,7 @@ def contexts(texts: DataFrame, length: int, parts: int) -> DataFrame:
         press = zstandard.ZstdCompressor(level=1)
         for part, pairs in by_part.items():
             flat = np.array([x for _, _, where in pairs for x in where], dtype=np.int64)
-            for name, x in (("part", part), ("bytes", press.compress(b"".join(c for c, _, _ in pairs))), ("sizes", np.array([len(c) for c, _, _ in pairs], dtype=np.int32).tobytes()), ("anchors", np.array([at for _, at, _ in pairs], dtype=np.int32).tobytes()), ("times", np.array([len(w) for _, _, w in pairs], dtype=np.int32).tobytes()), ("docs", flat[:, 0].tobytes()), ("starts", flat[:, 1].tobytes())):
+            for name, x in (("part", part), ("bytes", press.compress(b"".join(c for c, _, _ in pairs))), ("sizes", np.array([len(c) for c, _, _ in pairs], dtype=np.int32).tobytes()), ("anchors", np.array([at for _, at, _ in pairs], dtype=np.int32).tobytes()), ("times", np.array([len(w) for _, _, w in pairs], dtype=np.int32).tobytes()), ("docs", _pack(flat[:, 0])), ("starts", _pack(flat[:, 1]))):
                 out[name].append(x)
         return out
 
@@ -267,8 +278,8 @@ def repeats(packed: DataFrame, length: int) -> DataFrame:
                 ends = np.cumsum(np.frombuffer(sizes, dtype=np.int32)).tolist()
                 own = [number.setdefault((at, raw[a:z]), len(number)) for at, a, z in zip(np.frombuffer(ats, dtype=np.int32).tolist(), [0, *ends], ends)]
                 which.append(np.repeat(np.array(own, dtype=np.int64), np.frombuffer(times, dtype=np.int32)))
-                docs.append(np.frombuffer(doc, dtype=np.int64))
-                begins.append(np.frombuffer(begin, dtype=np.int64))
+                docs.append(_unpack(doc, len(which[-1])))
+                begins.append(_unpack(begin, len(which[-1])))
         if not number:
             return
         distinct, at = [c for _, c in number], np.array([a for a, _ in number])
