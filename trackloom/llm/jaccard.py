@@ -7,9 +7,11 @@ its prefix tokens. It ignores the expensive ones: tokens that more than ``dear``
 with more such tokens than that (``burdened``) are matched on expensive tokens too, and only with one another.
 
 Equal sets are one. Lists of documents that share the same prefix tokens are kept once with their multiplicity. A first
-round verifies each set against pivots of its lists (linear in list length) and joins what matches into classes; the second round
-verifies every remaining candidate pair of different classes, so no link between classes is lost. Groups of copies
-never become all pairs. Verification counts the intersection of whole shingle sets.
+round verifies each set against pivots of its lists (linear in list length; a list's pivot is the member that shares most) and joins
+what matches into classes. The second round takes what lists still hold of different classes. Its sets' whole shingles are
+counted among each other: what a set shares with no other bounds its similarity to all of them, so most drop out
+before pairs are made. Every remaining candidate pair of different classes is verified, so no link between classes is lost,
+and groups of copies never become all pairs. Verification counts the intersection of whole shingle sets.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix, stage
+from .common import arrow_map, mix, release, stage
 
 #: Words of a shingle, and similarity in hundredths.
 WIDTH, PERCENT = 5, 80
@@ -95,12 +97,10 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return dense.drop("part", "ahead")
 
 
-def shared_lists(rows: DataFrame, partitions: int) -> DataFrame:
-    """list, times, row: the rows that share prefix tokens. Tokens meet as packed arrays in ``partitions`` parts of the token
-    space; lists of equal members are one, with the number of their tokens."""
+def dealt(rows: DataFrame, column: str, partitions: int) -> DataFrame:
+    """tokens, rows: packed tokens and the rows that they are of, met in ``partitions`` parts of the token space."""
 
     def deal(batch: pa.RecordBatch) -> dict | None:
-        # distinct tokens of equal sets would meet anyway; they are dealt like others
         blobs, number = batch.column(1).to_pylist(), np.asarray(batch.column(0))
         tokens = np.frombuffer(b"".join(blobs), dtype=np.uint64)
         if not len(tokens):
@@ -113,22 +113,31 @@ def shared_lists(rows: DataFrame, partitions: int) -> DataFrame:
         kind = "<u4" if number.max() < 1 << 32 else "<u8"
         return {"part": part[order[cut]], "tokens": [tokens[order[a:z]].tobytes() for a, z in pieces], "rows": [row[order[a:z]].astype(kind).tobytes() for a, z in pieces]}
 
-    dealt = arrow_map(rows.where("n > 0").select("row", "prefix"), deal, "part int, tokens binary, rows binary", "prefix", 8192, 16_000_000).repartition(partitions, "part")
+    out = arrow_map(rows.select("row", column), deal, "part int, tokens binary, rows binary", column, 8192, 16_000_000)
+    return out.repartition(partitions, "part").select("tokens", "rows")
+
+
+def _met(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A part's rows in the order of their tokens, and where each distinct token begins and how often it comes."""
+    tokens, rows = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    for batch in batches:
+        for t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tokens.append(np.frombuffer(t, dtype=np.uint64))
+            rows.append(np.frombuffer(r, dtype="<u4" if len(r) * 2 == len(t) else "<u8").astype(np.int64))
+    t, r = np.concatenate(tokens), np.concatenate(rows)
+    order = np.lexsort((r, t))
+    t, r = t[order], r[order]
+    begin = np.flatnonzero(np.concatenate([t[:1] == t[:1], t[1:] != t[:-1]]))
+    return r, begin, np.diff(np.append(begin, len(t)))
+
+
+def shared_lists(rows: DataFrame, partitions: int) -> DataFrame:
+    """list, times, row: the rows that share prefix tokens; lists of equal members are one, with the number of their tokens."""
 
     def gather(batches):
-        tokens, rows = [], []
-        for batch in batches:
-            for t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens.append(np.frombuffer(t, dtype=np.uint64))
-                rows.append(np.frombuffer(r, dtype="<u4" if len(r) * 2 == len(t) else "<u8").astype(np.int64))
-        if not tokens:
+        r, begin, size = _met(batches)
+        if not len(begin):
             return
-        t, r = np.concatenate(tokens), np.concatenate(rows)
-        tokens = rows = None
-        order = np.lexsort((r, t))
-        t, r = t[order], r[order]
-        begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        size = np.diff(np.append(begin, len(t)))
         # members' names are summed twice over: equal sums are equal lists
         name = np.stack([np.add.reduceat(mix(r.astype(np.uint64) + np.uint64(s)), begin) for s in (1, 1 << 40)], axis=1)
         begin, size, name = begin[size > 1], size[size > 1], name[size > 1]
@@ -142,10 +151,23 @@ def shared_lists(rows: DataFrame, partitions: int) -> DataFrame:
                 [pa.array([name[i].tobytes() for i in pick], pa.binary()), pa.array(times[a : a + 4096], pa.int64()), pa.array(spans, pa.list_(pa.int64()))], ["list", "times", "rows"]
             )
 
-    gathered = dealt.select("tokens", "rows").mapInArrow(gather, "list binary, times long, rows array<long>")
+    gathered = dealt(rows.where("n > 0"), "prefix", partitions).mapInArrow(gather, "list binary, times long, rows array<long>")
     return gathered.select("list", "times", F.explode("rows").alias("row"))
 
 
+def common_counts(whole: DataFrame, partitions: int) -> DataFrame:
+    """sid, common: how many of a set's tokens some other of the sets has too."""
+
+    def gather(batches):
+        r, begin, size = _met(batches)
+        if len(begin):
+            row, n = np.unique(r[np.repeat(size > 1, size)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(n)], ["sid", "common"])
+
+    counted = dealt(whole.select(F.col("sid").alias("row"), "tokens"), "tokens", partitions).mapInArrow(gather, "sid long, common long")
+    return counted.groupBy("sid").agg(F.sum("common").alias("common"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node that links reach), for nodes with an edge (a, b), by alternating large and small stars."""
     now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -173,11 +195,10 @@ def _sieve(keys: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of the pairs (a, b) of sets those whose whole shingle sets are similar. The sets' texts are read again: a bitmap
-    sieves them, then a join picks the sets' own documents."""
-    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = stage(ends.join(sets, "sid").select("sid", F.col("doc_id").alias("wanted_id"), "digest"))
+def whole_sets(sids: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """sid, tokens (all of the set's, packed), written once. The sets' texts are read again: a bitmap sieves them, then a join
+    picks the sets' own documents."""
+    wanted = stage(sids.distinct().join(sets, "sid").select("sid", F.col("doc_id").alias("wanted_id"), "digest"))
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted, "wanted_id"))
 
     def run(batch: pa.RecordBatch) -> dict | None:
@@ -192,8 +213,14 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, te
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 24)).alias("place"))
     tokens = arrow_map(named, run, "doc_id long, found binary, tokens binary")
     # one row for each set, also where rows repeat
-    whole = tokens.join(wanted, (F.col("doc_id").eqNullSafe(F.col("wanted_id"))) & (F.col("found") == F.col("digest"))).dropDuplicates(["sid"]).select("sid", "tokens")
-    whole = stage(whole)
+    own = tokens.join(wanted, (F.col("doc_id").eqNullSafe(F.col("wanted_id"))) & (F.col("found") == F.col("digest")))
+    out = stage(own.groupBy("sid").agg(F.first("tokens").alias("tokens")))
+    release(wanted)
+    return out
+
+
+def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of sets those whose whole shingle sets are similar."""
     left = pairs.join(whole.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(whole.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -218,6 +245,60 @@ def _block(n: Column, shift: float) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(100 / PERCENT)) + F.lit(shift)).cast("int")
 
 
+def _burdened(n: str, h: str) -> Column:
+    """More dear tokens than a match with the smallest partner could do without."""
+    return F.col(h) > F.floor(F.floor(F.col(n) * PERCENT / 100) / 10)
+
+
+def star_pairs(lists: DataFrame, least: int | None = None) -> DataFrame:
+    """a, b: a set and the pivot, of those of its lists, that it shares most tokens with; one for each blocking of sizes. The pivot of a list
+    (and block) is the member of most fame. ``least``: tokens to share, a tenth of the set's and one unless given."""
+    blocks = F.explode(F.array(F.struct(F.lit(0).alias("k"), _block(F.col("n"), 0.0).alias("b")), F.struct(F.lit(1).alias("k"), _block(F.col("n"), 0.5).alias("b"))))
+    blocked = lists.select("list", "times", "sid", "n", "fame", blocks.alias("at")).select("list", "times", "sid", "n", "fame", "at.k", "at.b")
+    pivots = blocked.groupBy("list", "k", "b").agg(F.max(F.struct("fame", -F.col("sid"))).alias("x")).select("list", "k", "b", (-F.col("x.col2")).alias("pivot"))
+    star = blocked.join(pivots, ["list", "k", "b"]).where("sid <> pivot").groupBy("sid", "n", "pivot", "k").agg(F.sum("times").alias("c"))
+    star = star.where(F.col("c") >= (F.lit(least) if least else 1 + F.floor(F.col("n") / 10)))  # fewer may still match later
+    best = star.groupBy("sid", "k").agg(F.max(F.struct("c", -F.col("pivot"))).alias("x"))
+    return best.select(F.col("sid").alias("a"), (-F.col("x.col2")).alias("b")).distinct()
+
+
+def _open(entries: DataFrame) -> DataFrame:
+    """Entries of lists that hold more than one class."""
+    mixed = entries.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list")
+    return entries.join(mixed, "list")
+
+
+def candidate_pairs(entries: DataFrame) -> DataFrame:
+    """a, b, c, and n and h of both: pairs of different classes whose sizes allow similarity, with the number of tokens of the lists that hold both."""
+    lists = entries.groupBy("list").agg(F.max("times").alias("times"), F.collect_list(F.struct("sid", "n", "root", "h", "most")).alias("s"))
+
+    def cross(batch: pa.RecordBatch) -> dict | None:
+        out = []
+        for times, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sid, n, root, h, most = (np.array([x[k] for x in members]) for k in ("sid", "n", "root", "h", "most"))
+            order = np.lexsort((sid, n))
+            sid, n, root, h, most = sid[order], n[order], root[order], h[order], most[order]
+            low = np.searchsorted(n, -(-n * PERCENT // 100))  # partners' sizes: not below this,
+            high = np.minimum(np.searchsorted(n, most, side="right"), np.arange(len(n)))  # nor above what is shared allows
+            for i in np.flatnonzero(low < high):
+                j = np.arange(low[i], high[i])
+                j = j[(root[j] != root[i]) & (most[j] >= n[i])]
+                if len(j):
+                    one = np.full(len(j), i)
+                    swap = sid[one] > sid[j]
+                    x, y = np.where(swap, j, one), np.where(swap, one, j)
+                    out.append(np.stack([sid[x], sid[y], n[x], n[y], h[x], h[y], np.full(len(j), times)], axis=1))
+        if not out:
+            return None
+        pairs, at = np.unique(np.concatenate(out)[:, :6], axis=0, return_inverse=True)
+        c = np.bincount(at.ravel(), np.concatenate(out)[:, 6]).astype(np.int64)
+        return dict(zip(("a", "b", "na", "nb", "ha", "hb"), pairs.T, strict=True)) | {"c": c}
+
+    sized = lists.select("times", "s", F.lit("").alias("text"))
+    found = arrow_map(sized, cross, "a long, b long, na long, nb long, ha long, hb long, c long", "text", 1024)
+    return found.groupBy("a", "b", "na", "nb", "ha", "hb").agg(F.sum("c").alias("c"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dear: int = 64) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
@@ -233,53 +314,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # lists of rows become lists of sets
     entries = shared_lists(rows, partitions).groupBy("list", "row").agg(F.sum("times").alias("times"))
-    entries = entries.join(members.where("n > 0").select("row", "sid", "n"), "row").groupBy("list", "sid", "n").agg(F.max("times").alias("times"))
-    lists = stage(entries)
-    sizes = lists.groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
-    lists = stage(lists.join(sizes, "list"))
-
-    # first round: each set against pivots of its lists
-    blocked = lists.select("list", "times", "sid", "n", F.explode(F.array(F.struct(F.lit(0).alias("k"), _block(F.col("n"), 0.0).alias("b")), F.struct(F.lit(1).alias("k"), _block(F.col("n"), 0.5).alias("b")))).alias("at")).select("list", "times", "sid", "n", "at.k", "at.b")
-    pivots = blocked.groupBy("list", "k", "b").agg(F.min("sid").alias("pivot"))
-    star = blocked.join(pivots, ["list", "k", "b"]).where("sid <> pivot").groupBy("sid", "n", "pivot", "k").agg(F.sum("times").alias("c"))
-    star = star.where(F.col("c") >= 1 + F.floor(F.col("n") / 10))  # fewer may still match in the second round
-    best = star.groupBy("sid", "k").agg(F.max(F.struct("c", -F.col("pivot"))).alias("x")).select(F.col("sid").alias("a"), (-F.col("x.col2")).alias("b")).distinct()
-    roots = stage(components(verified(stage(best), sets, docs, id_col, text_col)))
+    entries = stage(entries.join(members.where("n > 0").select("row", "sid", "n"), "row").groupBy("list", "sid", "n").agg(F.max("times").alias("times")))
+    release(rows)
+    sizes = entries.groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
+    lists = stage(entries.join(sizes, "list"))
+    release(entries)
+
+    # first round: each set against pivots of its lists, whose tokens are the most widely shared
+    fame = lists.groupBy("sid").agg((F.sum(F.col("times") * F.col("m")) / F.first("n")).alias("fame"))
+    lists = stage(lists.join(fame, "sid"))
+    best = stage(star_pairs(lists))
+    whole = whole_sets(best.select(F.col("a").alias("sid")).unionByName(best.select(F.col("b").alias("sid"))), sets, docs, id_col, text_col)
+    roots = stage(components(verified(best, whole)))
+    release(whole)
 
     # second round: whatever of different classes still shares enough prefix tokens
     burden = lists.where(F.col("m") > dear).groupBy("sid").agg(F.sum("times").alias("h"))
     tagged = _rooted(lists, roots).join(burden, "sid", "left").withColumn("h", F.coalesce("h", F.lit(0)))
-    burdened = F.col("h") > F.floor(F.floor(F.col("n") * PERCENT / 100) / 10)
-    useful = stage(tagged.where((F.col("m") <= dear) | burdened))
-    mixed = useful.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list")
-    open_lists = useful.join(mixed, "list").groupBy("list").agg(F.max("times").alias("times"), F.collect_list(F.struct("sid", "n", "root", "h")).alias("s"))
-
-    def cross(batch: pa.RecordBatch) -> dict | None:
-        out = []
-        for times, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sid, n, root = (np.array([x[k] for x in members]) for k in ("sid", "n", "root"))
-            order = np.lexsort((sid, n))
-            sid, n, root = sid[order], n[order], root[order]
-            reach = np.searchsorted(n, -(-n * PERCENT // 100))  # partners' least size
-            for i in range(len(sid)):
-                j = np.arange(reach[i], i)
-                j = j[root[j] != root[i]]
-                if len(j):
-                    out.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]), np.full(len(j), times)], axis=1))
-        if not out:
-            return None
-        pairs, at = np.unique(np.concatenate(out)[:, :2], axis=0, return_inverse=True)
-        return {"a": pairs[:, 0], "b": pairs[:, 1], "c": np.bincount(at.ravel(), np.concatenate(out)[:, 2]).astype(np.int64)}
-
-    sized = open_lists.select("times", "s", F.lit("").alias("text"))
-    pairs = arrow_map(sized, cross, "a long, b long, c long", "text", 1024).groupBy("a", "b").agg(F.sum("c").alias("c"))
-    facts = tagged.select("sid", "n", "h").distinct()
-    weighed = pairs.join(facts.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha")), "a").join(facts.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb")), "b")
-    # dear tokens of pairs that were matched on the others alone may add to the count
-    needed = 1 + F.floor(F.least("na", "nb") / 10)
-    left = stage(weighed.where(F.col("c") + F.least("ha", "hb") >= needed).select("a", "b"))
-    joined = verified(left, sets, docs, id_col, text_col)
+    useful = stage(tagged.where((F.col("m") <= dear) | _burdened("n", "h")))
+    contested = stage(_open(useful))
+    whole = whole_sets(contested.select("sid"), sets, docs, id_col, text_col)
+    # a set that shares `common` tokens with all others together has no similar one above this size
+    limit = F.floor((100 + PERCENT) * F.col("common") / PERCENT).cast("long") - F.col("n")
+    able = contested.join(common_counts(whole, partitions), "sid").withColumn("most", limit).where(F.col("most") >= F.ceil(F.col("n") * PERCENT / 100))
+    able = stage(able)
+    # again against pivots, now among sets that could match at all, so that large classes are whole before pairs are made
+    more = verified(stage(star_pairs(_open(able), 1)), whole)
+    roots = stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    pairs = candidate_pairs(_open(_rooted(able.drop("root"), roots)))
+    # similar sets share this many tokens, of which those beyond the larger one's prefix may be missing here
+    beyond = F.greatest(F.lit(0), F.ceil(F.greatest("na", "nb") * PERCENT / 100) - 1 - F.floor(F.greatest("na", "nb") / 10))
+    needed = F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT)) - beyond
+    # as may dear tokens, unless both sets were matched on those too
+    unseen = F.when(_burdened("na", "ha") & _burdened("nb", "hb"), 0).otherwise(F.least("ha", "hb"))
+    left = stage(pairs.where(F.col("c") + unseen >= needed).select("a", "b"))
+    joined = verified(left, whole)
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(joined))
+    final = stage(final)
+    release(whole)
     of_set = _rooted(sets.select("sid"), final)
     placed = members.join(of_set, "sid", "left")
     class_id = placed.where("sid IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
