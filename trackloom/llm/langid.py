@@ -231,7 +231,7 @@ def predict(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_c
         return {"doc_id": batch.column(0), "held_out": batch.column(2), "lang_pred": pred, "score": score}
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
-    return arrow_map(named, run, "doc_id long, held_out boolean, lang_pred string, score double", rows=4096, limit=8_000_000)
+    return arrow_map(named, run, "doc_id long, held_out boolean, lang_pred string, score double", rows=4096, limit=3_000_000)
 
 
 def keep_identified(docs: DataFrame, field: Field | None, least: float, text_col: str = "text") -> DataFrame:
@@ -242,7 +242,7 @@ def keep_identified(docs: DataFrame, field: Field | None, least: float, text_col
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
         return batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in judge(held.value, texts)]))
 
-    return map_rows(docs, run, text_col, 8_000_000)
+    return map_rows(docs, run, text_col, 3_000_000)
 
 
 def label_words(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

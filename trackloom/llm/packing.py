@@ -30,7 +30,7 @@ _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\s\w])+
 _OTHER = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 _CONTROL = re.compile("[\x1c-\x1f]")
 #: Distinct words that a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 class Encoder:
