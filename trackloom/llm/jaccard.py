@@ -268,6 +268,15 @@ def _open(entries: DataFrame) -> DataFrame:
     return entries.join(mixed, "list")
 
 
+def _sharing(entries: DataFrame) -> DataFrame:
+    """Entries, of lists that stay open, of sets that share enough prefix tokens for a match with any other class: a tenth of the set and one,
+    of which a set that was not matched on its dear tokens may have those unseen."""
+    shared = entries.groupBy(F.col("sid").alias("of")).agg(F.sum("times").alias("shared"))
+    unseen = F.when(_burdened("n", "h"), 0).otherwise(F.col("h"))
+    enough = entries.join(shared, F.col("sid") == F.col("of")).where(F.col("shared") + unseen >= 1 + F.floor(F.col("n") / 10))
+    return _open(enough.drop("of", "shared"))
+
+
 def candidate_pairs(entries: DataFrame) -> DataFrame:
     """a, b, c, and n and h of both: pairs of different classes whose sizes allow similarity, with the number of tokens of the lists that hold both."""
     lists = entries.groupBy("list").agg(F.max("times").alias("times"), F.collect_list(F.struct("sid", "n", "root", "h", "most")).alias("s"))
@@ -332,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     burden = lists.where(F.col("m") > dear).groupBy("sid").agg(F.sum("times").alias("h"))
     tagged = _rooted(lists, roots).join(burden, "sid", "left").withColumn("h", F.coalesce("h", F.lit(0)))
     useful = stage(tagged.where((F.col("m") <= dear) | _burdened("n", "h")))
-    contested = stage(_open(useful))
+    contested = stage(_sharing(_sharing(_open(useful))))
     whole = whole_sets(contested.select("sid"), sets, docs, id_col, text_col)
     # a set that shares `common` tokens with all others together has no similar one above this size
     limit = F.floor((100 + PERCENT) * F.col("common") / PERCENT).cast("long") - F.col("n")
