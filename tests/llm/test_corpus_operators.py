@@ -107,6 +107,15 @@ def test_join_equals_brute_force(spark):
         assert got == sorted(brute_classes(texts, ids))
 
 
+def test_join_links_texts_one_word_apart_beside_a_larger_group(spark):
+    texts = []
+    for s in range(40):  # 10 and 9 shingles that share 9; the group opens with 12 of their words, and is not similar to them
+        w = [f"{s}w{k}" for k in range(14)]
+        texts += [" ".join(w), " ".join(w[:13])] + [" ".join([*w[:12], f"{s}t", f"{s}c{i}"]) for i in range(6)]
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(docs(spark, texts)).collect())
+    assert got == sorted(brute_classes(texts, range(len(texts))))
+
+
 def test_join_of_odd_rows(spark):
     same = "one two three four five six seven"
     rows = docs(spark, [same, same, same.upper(), None, None], [7, 7, None, 3, 3])

@@ -351,8 +351,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = verified(stage(star_pairs(_open(able), 1)), whole)
     roots = stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
     pairs = candidate_pairs(_open(_rooted(able.drop("root"), roots)))
-    # similar sets share this many tokens, of which those beyond the larger one's prefix may be missing here
-    beyond = F.greatest(F.lit(0), F.ceil(F.greatest("na", "nb") * PERCENT / 100) - 1 - F.floor(F.greatest("na", "nb") / 10))
+    # similar sets share this many tokens, of which those beyond either one's prefix may be missing here (not always most beyond the larger one's)
+    beyond = F.greatest(F.lit(0), *(F.ceil(F.col(n) * PERCENT / 100) - 1 - F.floor(F.col(n) / 10) for n in ("na", "nb")))
     needed = F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT)) - beyond
     # as may dear tokens, unless both sets were matched on those too
     unseen = F.when(_burdened("na", "ha") & _burdened("nb", "hb"), 0).otherwise(F.least("ha", "hb"))
