@@ -116,6 +116,15 @@ def test_join_links_texts_one_word_apart_beside_a_larger_group(spark):
     assert got == sorted(brute_classes(texts, range(len(texts))))
 
 
+def test_join_links_sets_of_which_one_was_matched_on_its_dear_tokens(spark):
+    texts = []
+    for s in (452, 1094, 1847, 4388):  # 19 and 16 shingles that share 16, in prefixes one dear and one not; the smaller has six near copies
+        w = [f"{s}w{k}" for k in range(23)]
+        texts += [" ".join(w), " ".join(w[:20])] + [" ".join([f"{s}c{i}", *w[1:20]]) for i in range(6)]
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(docs(spark, texts), dear=3).collect())
+    assert got == sorted(brute_classes(texts, range(len(texts))))
+
+
 def test_join_of_odd_rows(spark):
     same = "one two three four five six seven"
     rows = docs(spark, [same, same, same.upper(), None, None], [7, 7, None, 3, 3])

@@ -263,18 +263,20 @@ def star_pairs(lists: DataFrame, least: int | None = None) -> DataFrame:
 
 
 def _open(entries: DataFrame) -> DataFrame:
-    """Entries of lists that hold more than one class."""
-    mixed = entries.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list")
-    return entries.join(mixed, "list")
+    """Entries of lists that hold more than one class, and ``free``: the most dear tokens of a list's sets that are not burdened."""
+    free = F.coalesce(F.max(F.when(~_burdened("n", "h"), F.col("h"))), F.lit(0)).alias("free")
+    mixed = entries.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), free).where("low <> high").select("list", "free")
+    return entries.drop("free").join(mixed, "list")
 
 
 def _sharing(entries: DataFrame) -> DataFrame:
     """Entries, of lists that stay open, of sets that share enough prefix tokens for a match with any other class: a tenth of the set and one,
-    of which a set that was not matched on its dear tokens may have those unseen."""
-    shared = entries.groupBy(F.col("sid").alias("of")).agg(F.sum("times").alias("shared"))
-    unseen = F.when(_burdened("n", "h"), 0).otherwise(F.col("h"))
+    of which a set that was not matched on its dear tokens may have those unseen. One that was may have as many unseen as a partner that was
+    not has; the two meet in a list, as such a partner has fewer dear tokens than a match needs."""
+    shared = entries.groupBy(F.col("sid").alias("of")).agg(F.sum("times").alias("shared"), F.max("free").alias("partner"))
+    unseen = F.when(_burdened("n", "h"), F.least("h", "partner")).otherwise(F.col("h"))
     enough = entries.join(shared, F.col("sid") == F.col("of")).where(F.col("shared") + unseen >= 1 + F.floor(F.col("n") / 10))
-    return _open(enough.drop("of", "shared"))
+    return _open(enough.drop("of", "shared", "partner"))
 
 
 def candidate_pairs(entries: DataFrame) -> DataFrame:
