@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trackloom.llm import dedup, jaccard, packing, queries, repeats
@@ -167,6 +168,23 @@ def test_repeats_equal_brute_force(spark):
         assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
 
 
+def common_passage(n):
+    rng = random.Random(6)
+    passage, own = "".join(rng.choice("abcdé ") for _ in range(260)), lambda: "".join(rng.choice("abcdefghij") for _ in range(90))
+    return [own() + passage[rng.randint(0, 3) :] + own() for _ in range(n)]
+
+
+def test_a_common_passage_is_dealt_to_all_parts_and_cut_right(spark):
+    texts = common_passage(9000)
+    table = docs(spark, texts).repartition(4)
+    places = repeats.repeated_anchors(table, 100, 64).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    packed = repeats.contexts(table.join(places, "doc_id").select("doc_id", "text", "places"), 100, 64)
+    by_part = packed.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.length("sizes")).alias("n")).toPandas().n
+    assert by_part.max() * 8 < by_part.sum()  # no part has an anchor's contexts of all documents
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(table).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+
+
 def test_repeats_with_repeated_and_missing_ids(spark):
     rng = random.Random(3)
     text = "".join(rng.choice("abc") for _ in range(150))

@@ -29,6 +29,8 @@ GRAM, LENGTH = 24, 100
 CHUNK = 1 << 20
 #: Bytes of contexts in an index, but for an anchor's own that are more.
 INDEXED = 1 << 20
+#: Occurrences of an anchor above which its strings meet one by one (it is hot), not by the anchor.
+HOT = 1 << 13
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, size=256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,7 +95,7 @@ def _grouped(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
 
 
 def repeated_anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
-    """doc_id, place: positions of anchors whose hash occurs more than once."""
+    """doc_id, place: positions of anchors whose hash occurs more than once; of hot ones, -1 less the position."""
 
     def deal(batch: pa.RecordBatch) -> dict | None:
         ids, found = [], []
@@ -122,7 +124,10 @@ def repeated_anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
         h, doc, place = (np.concatenate(x) for x in held)
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
-        twice = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        begin = np.flatnonzero(np.concatenate([[True], ~same]))
+        times = np.diff(np.append(begin, len(order)))
+        place[order] = np.where(np.repeat(times > HOT, times), -1 - place[order], place[order])
+        twice = order[np.repeat(times > 1, times)]
         for a in range(0, len(twice), 100_000):
             pick = twice[a : a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(doc[pick]), pa.array(place[pick])], ["doc_id", "place"])
@@ -132,17 +137,31 @@ def repeated_anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
 
 def contexts(texts: DataFrame, length: int, parts: int) -> DataFrame:
     """Packed contexts by part, from texts with the places of their repeated anchors: distinct contexts of a batch (compressed), how often each
-    occurs, and its documents and starts."""
+    occurs, and its documents and starts. A hot anchor's contexts go to parts by their own bytes, where equal ones are kept once and nothing
+    else is compared; the strings of a context, from its first occurrence in the batch, go each to a part by its bytes. Both have -1 less the anchor."""
+
+    def of_bytes(x: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest()) % parts
 
     def deal(batch: pa.RecordBatch) -> dict | None:
         held: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
+        hot: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
         for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             raw = _raw(text)
             place, h, first, last = anchors(raw, length)
+            places = np.array(places, dtype=np.int64)
+            for i in np.flatnonzero(np.isin(-1 - place, places)).tolist():
+                hot.setdefault((int(place[i] - first[i]), raw[first[i] : last[i] + length]), []).append((doc, int(first[i])))
             hit = np.isin(place, places)
             part = (h[hit].astype(np.uint64) % np.uint64(parts)).tolist()
             for k, a, z, at in zip(part, first[hit].tolist(), (last[hit] + length).tolist(), place[hit].tolist(), strict=True):
                 held.setdefault((k, at - a, raw[a:z]), []).append((doc, a))
+        for (at, context), where in hot.items():
+            held.setdefault((of_bytes(context), -1 - at, context), []).extend(where)
+            doc, a = min(where)
+            for k in range(len(context) - length + 1 if len(context) > length else 0):
+                string = context[k : k + length]
+                held.setdefault((of_bytes(string), -1 - (at - k), string), []).append((doc, a + k))
         if not held:
             return None
         by_part: dict[int, list] = {}
@@ -291,7 +310,11 @@ def repeats(packed: DataFrame, length: int) -> DataFrame:
         first = np.concatenate([[True], which[1:] != which[:-1]])
         own_doc, own_begin = doc[first], begin[first]
         yield from stretches(doc[~first], begin[~first], begin[~first] + size[which[~first]])
-        # what distinct contexts of an anchor share, an index for some anchors at a time
+        # what distinct contexts of an anchor share, an index for some anchors at a time; those of hot ones have met as strings
+        cold = np.flatnonzero(at >= 0)
+        distinct, at, size, own_doc, own_begin = [distinct[i] for i in cold.tolist()], at[cold], size[cold], own_doc[cold], own_begin[cold]
+        if not len(cold):
+            return
         gram: dict[bytes, int] = {}
         group = np.array([gram.setdefault(c[a : a + GRAM], len(gram)) for c, a in zip(distinct, at.tolist(), strict=True)])
         gram = None
