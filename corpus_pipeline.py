@@ -40,7 +40,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
-    return packing.pack(docs).drop("ids")
+    return packing.pack(docs, added=True).drop("ids")
 
 
 STAGES = [("language_id", language_id), ("exact_copies", exact_copies), ("near_copies", near_copies), ("secrets", secrets), ("packed", packed)]

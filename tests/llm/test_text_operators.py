@@ -12,7 +12,8 @@ import sentencepiece
 from pyspark.sql import Row
 from tokenizers import Tokenizer
 
-from trackloom.llm import chat, host_rules, langid, packing, pieces, secret_scan, urls
+import corpus_pipeline
+from trackloom.llm import chat, host_rules, langid, packing, pieces, queries, secret_scan, urls
 
 DOCS = "doc_id long, text string, source string, doc_id_extra string, n long"
 EMPTY = "doc_id long, text string"
@@ -281,6 +282,16 @@ def test_packing_is_a_partition_of_all_ids(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_added_token_is_one_id_as_in_the_tokenizer_file(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "é \n\n<|endoftext|>\n b", "<|endoftext|", "<|ENDOFTEXT|>", "none"]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [np.array(tk.encode(t, add_special_tokens=False).ids + [0], dtype="<u4") for t in texts]
+    for got in (queries.QUERIES["op9_curve_packing"](spark, str(tmp_path)), corpus_pipeline.packed(spark, docs(spark, texts), "")):
+        got = got.toPandas().set_index("doc_id")
+        assert [(got.doc_tokens[i], got.ids_crc32[i]) for i in range(len(texts))] == [(len(x), zlib.crc32(x.tobytes())) for x in want]
+
+
 def test_hilbert_neighbours_touch():
     for dims, bits in ((2, 3), (3, 3), (4, 2)):
         cells = np.array(np.meshgrid(*[range(1 << bits)] * dims)).reshape(dims, -1).T

@@ -29,6 +29,8 @@ DIMS, BITS = 4, 12
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")
 _OTHER = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 _CONTROL = re.compile("[\x1c-\x1f]")
+#: The added token of byte_bpe_50k.json.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 #: Distinct words that a task remembers.
 REMEMBERED = 500_000
 
@@ -57,10 +59,18 @@ class Encoder:
         get, miss = self.known.get, self.miss
         return np.frombuffer(b"".join([get(w) or miss(w) for w in _SPLIT.findall(text)]), dtype="<u2")
 
+    def encode_added(self, text: str) -> np.ndarray:
+        """Like ``encode``, with one id for each added token; what stands between those is encoded by itself."""
+        if ADDED not in text:
+            return self.encode(text)
+        between = [self.encode(x) for x in text.split(ADDED)]
+        one = np.array([ADDED_ID], dtype="<u2")
+        return np.concatenate([x for pair in zip(between, [one] * len(between)) for x in pair][:-1])
+
 
 @lru_cache(maxsize=1)
 def _encoder() -> Encoder:
-    """The vocabulary of byte_bpe_50k.json; its ranks give the same ids as that file and faster."""
+    """The vocabulary of byte_bpe_50k.json; its ranks give the same ids as that file and faster, but for the added token."""
     import public_tokenizers
 
     return Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -106,12 +116,12 @@ def curve_key(ids: list[np.ndarray], n_ids: int = 1 << 16) -> np.ndarray:
     return hilbert(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, id_col: str, text_col: str, end_id: int, added: bool = False) -> DataFrame:
     """doc_id, key, n, ids (little-endian 16-bit), with the end id after each document. Null texts are empty."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        encoder = _encoder()
-        ids = [np.append(encoder.encode(t or ""), np.array([end_id], dtype="<u2")) for t in batch.column(1).to_pylist()]
+        encode = _encoder().encode_added if added else _encoder().encode
+        ids = [np.append(encode(t or ""), np.array([end_id], dtype="<u2")) for t in batch.column(1).to_pylist()]
         return {"doc_id": batch.column(0), "key": curve_key([x[:-1] for x in ids]), "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
 
     return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, key long, n long, ids binary")
@@ -140,11 +150,12 @@ def starts(rows: DataFrame) -> DataFrame:
     return local.join(F.broadcast(base), "part").select("row", (F.col("base") + F.col("local")).alias("start"))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 1024, end_id: int = 0) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary).
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 1024, end_id: int = 0, added: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary). ``added``: the vocabulary's
+    added token in a text is one id, as the tokenizer file has it, and not the ids of its letters.
 
     Repeated rows and null ids are documents of their own; an empty table gives an empty result."""
-    rows = stage(tokenised(docs, id_col, text_col, end_id).withColumn("row", F.monotonically_increasing_id()))
+    rows = stage(tokenised(docs, id_col, text_col, end_id, added).withColumn("row", F.monotonically_increasing_id()))
     placed = rows.select("doc_id", "row", "ids").join(starts(rows), "row").select("doc_id", "ids", "start")
 
     def cut(batch: pa.RecordBatch) -> dict:

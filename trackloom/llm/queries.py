@@ -96,7 +96,7 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in Hilbert order, cut into sequences of 1024 tokens."""
-    return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
+    return packing.pack(_table(spark, sf_dir, "documents"), added=True).drop("ids")
 
 
 _WORD = r"[^\x20\x09-\x0D]"
