@@ -103,8 +103,8 @@ def test_join_equals_brute_force(spark):
             texts.append(" ".join(copy))
     texts += [" ".join(passage + [random.choice(words) for _ in range(random.randint(0, 90))]) for _ in range(40)]
     ids = random.sample(range(1000), len(texts))
-    for dear in (64, 3):  # few lists and many that count as expensive
-        got = sorted(tuple(r) for r in jaccard.near_duplicates(docs(spark, texts, ids), dear=dear).collect())
+    for short in (16, 2):  # few lists and all that become rebased
+        got = sorted(tuple(r) for r in jaccard.near_duplicates(docs(spark, texts, ids), short=short).collect())
         assert got == sorted(brute_classes(texts, ids))
 
 
@@ -122,10 +122,51 @@ def test_join_links_sets_of_which_one_was_matched_on_its_dear_tokens(spark):
     for s in (452, 1094, 1847, 4388):  # 19 and 16 shingles that share 16, in prefixes one dear and one not; the smaller has six near copies
         w = [f"{s}w{k}" for k in range(23)]
         texts += [" ".join(w), " ".join(w[:20])] + [" ".join([f"{s}c{i}", *w[1:20]]) for i in range(6)]
-    got = sorted(tuple(r) for r in jaccard.near_duplicates(docs(spark, texts), dear=3).collect())
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(docs(spark, texts), short=3).collect())
     assert got == sorted(brute_classes(texts, range(len(texts))))
 
 
+def test_join_of_groups_whose_members_are_just_not_similar(spark):
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(34)]
+    texts = []
+    for i in range(300):  # one or two words changed somewhere: 25 to 29 of 30 shingles shared, some pairs are similar and most are not
+        copy = list(base)
+        for p in rng.sample(range(34), rng.choice((1, 1, 2))):
+            copy[p] = rng.choice(("x", "y", f"n{i}"))
+        texts.append(" ".join(copy[: rng.choice((34, 34, 33, 30))]))
+    want = sorted(brute_classes(texts, range(len(texts))))
+    for short in (16, 2):
+        got = sorted(tuple(r) for r in jaccard.near_duplicates(docs(spark, texts), short=short).collect())
+        assert got == want
+
+
+def test_bounds_of_prefixes_hold_for_all_sizes():
+    """Of sets of sizes n and m that are just similar, in the worst order of their tokens: the shared tokens within both prefixes."""
+    for n in range(1, 330):
+        for m in range(-(-80 * n // 100), n + 1):
+            inter = -(-80 * (n + m) // 180)
+            assert jaccard.similar(inter, n, m) and inter >= max(jaccard.needed(n), jaccard.needed(m))
+            for part in (1, 7, 40):
+                l = max(1, min(n * part // 100, m * (47 - part) // 100, jaccard.needed(m)))
+                # all that is beyond either prefix is shared
+                assert inter - max(jaccard.needed(n) - l, jaccard.needed(m) - l) >= l
+            apart = n + m - 2 * inter
+            for own, size in ((n, apart), (m, apart), (n, apart + 5), (m, 2 * apart + 3)):
+                first, every = jaccard.prefixes_of_difference(size, own)
+                for other in range(size, size + apart + 1):  # sizes of the other difference, from which the overlap follows
+                    both = max(1, -(-(size + other - apart) // 2))
+                    assert both > size or size - both + 1 <= first
+                for other in range(max(1, size - apart), size + 1):
+                    both = max(1, -(-(size + other - apart) // 2))
+                    assert both > size or size - both + 1 <= every
+
+
+def test_prefixes_follow_the_cost_of_candidates():
+    rare, hot = np.ones(200), np.concatenate([np.ones(45), np.full(155, 4000.0)])
+    assert jaccard.matches_wanted(200, hot) < jaccard.matches_wanted(200, rare) < jaccard.matches_wanted(200, np.full(200, 5.0))
+
+
 def test_join_of_odd_rows(spark):
     same = "one two three four five six seven"
     rows = docs(spark, [same, same, same.upper(), None, None], [7, 7, None, 3, 3])

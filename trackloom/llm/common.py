@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,18 +11,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the one that the cluster shares; where none is set (tests), a temporary one becomes it."""
+    """A new folder name under the one that the cluster shares (spark.checkpoint.dir). Where none is set, as in tests, a temporary one
+    becomes it, but only if all of Spark runs on this machine; a cluster without a shared folder is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
-        else:
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
             root = "file://" + tempfile.mkdtemp(prefix="trackloom-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return f"{root}/trackloom-{uuid.uuid4().hex}"
 
 
@@ -43,6 +48,28 @@ def release(df: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have (case is not told apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str, bool]:
+    """The documents with a column that names each row, that column, and whether it was added: the id where all ids differ and none is null,
+    else a number that is written with the rows."""
+    if docs.select(F.col(id_col).alias("k")).groupBy("k").count().where("count > 1 OR k IS NULL").isEmpty():
+        return docs, id_col, False
+    name = fresh(docs, "row")
+    return stage(docs.withColumn(name, F.monotonically_increasing_id())), name, True
+
+
+def parts_of(spark: SparkSession, units: float, each: float) -> int:
+    """Partitions so that each gets about ``each`` units of work, however much there is; not fewer than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, -(-int(units) // int(each)))
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text", limit: int = 4_000_000) -> DataFrame:
     """Whole rows through ``fn``, which drops some or changes values; all columns stay."""
 

@@ -1,33 +1,42 @@
 """Exact Jaccard self-join of documents' word shingles, as connected classes, by adaptive multi-match prefixes.
 
-Shingles are 64-bit hashes, and their numeric order is the global order. A document of n shingles has a prefix of
-n - ceil(t n) + l tokens, and two documents with similarity t or more share at least the smaller l of them within
-their prefixes. l is a tenth of n and one, so a match needs that many shared tokens, and a document may ignore l - 1 of
-its prefix tokens. It ignores the expensive ones: tokens that more than ``dear`` different sets share. Only documents
-with more such tokens than that (``burdened``) are matched on expensive tokens too, and only with one another.
-
-Equal sets are one. Lists of documents that share the same prefix tokens are kept once with their multiplicity. A first
-round verifies each set against pivots of its lists (linear in list length; a list's pivot is the member that shares most) and joins
-what matches into classes. The second round takes what lists still hold of different classes. Its sets' whole shingles are
-counted among each other: what a set shares with no other bounds its similarity to all of them, so most drop out
-before pairs are made. Every remaining candidate pair of different classes is verified, so no link between classes is lost,
-and groups of copies never become all pairs. Verification counts the intersection of whole shingle sets.
+Shingles are 64-bit hashes. Their global order is by rarity: a first pass counts all shingles of all documents in a table of fixed size, whose
+places that hold far more than the mean give classes of frequency; within a class the hash decides. A document of n shingles has a prefix of
+n - ceil(t n) + l tokens, and two documents with similarity t or more share at least the smaller l of the two within their prefixes. Each
+document chooses its own l: what its prefix would cost to post, plus what verifying the candidates would cost that are left when l tokens must
+be shared, is least. Documents whose rare tokens already tell them apart keep short prefixes; those of large groups lengthen theirs.
+
+Equal sets are one. Lists of documents that share the same prefix tokens are kept once with their multiplicity. A round of stars verifies
+each set against pivots of its lists (linear in list length) and joins what matches into classes. What lists still hold of
+different classes becomes pairs where a list is short. Long lists never become pairs: their sets are rebased on a pivot q,
+as differences x ^ q, since (x ^ q) ^ (y ^ q) = x ^ y, and similar sets differ in at most a ninth of their sizes. Two of them that are
+not both similar to q share a token of their differences, so prefixes of the differences make new, shorter lists, until none is long.
+Candidates are verified by the intersection of whole shingle sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix, release, stage
+from .common import arrow_map, mix, parts_of, release, slices, stage
 
 #: Words of a shingle, and similarity in hundredths.
 WIDTH, PERCENT = 5, 80
+#: Places of the frequency table, as a power of two.
+PLACES = 20
+#: Cost model: candidates per posted token that is not known to be frequent, and the cost of verifying a candidate, per shingle, in postings.
+STRAY, VERIFY = 0.2, 0.25
+#: Members of a list that become pairs; longer lists are rebased.
+SHORT = 16
+#: Prefix tokens that a task gathers.
+GATHERED = 6_000_000
 _FACTORS = np.random.default_rng(3).integers(1, 1 << 63, size=WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTES = np.random.default_rng(4).integers(1, 1 << 63, size=256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -41,9 +50,9 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([one, np.cumprod(np.full(size, b, dtype=np.uint64))]) for b in (_BASE, inverse))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles: A-Z lowered, words parted by ASCII white space; fewer than five
-    words are one shingle; none for null and for texts without a word. Linear in the text."""
+def hashes(text: str | None) -> np.ndarray:
+    """Hashes of the text's shingles in their order: A-Z lowered, words parted by ASCII white space; fewer than five words are
+    one shingle; none for null and for texts without a word. Linear in the text."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
     b = np.frombuffer(raw, dtype=np.uint8)
     inside = (b > 32) | (b < 9) | ((b > 13) & (b < 32))
@@ -58,35 +67,102 @@ def shingles(text: str | None) -> np.ndarray:
     h = np.full(len(words) - k + 1, k, dtype=np.uint64)
     for i in range(k):
         h = h + words[i : len(words) - k + 1 + i] * _FACTORS[i]
-    return np.unique(mix(h))
+    return mix(h)
 
 
-def matches_needed(n):
-    """l, the shared prefix tokens that a set of n needs of a partner at least as large."""
-    return 1 + n // 10
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    return np.unique(hashes(text))
 
 
-def prefix_length(n: int) -> int:
-    return min(n, n - -(-PERCENT * n // 100) + matches_needed(n))
+def needed(n: int) -> int:
+    """Tokens that a set of n shares with every similar set."""
+    return -(-PERCENT * n // 100)
 
 
 def similar(inter, n, m):
     return 100 * inter >= PERCENT * (n + m - inter)
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, doc_id, n, digest (of the whole set), prefix (its lowest tokens), written once. Rows are numbered densely."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {n: [] for n in ("doc_id", "n", "digest", "prefix")}
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tokens = shingles(text)
-            for name, x in (("doc_id", doc), ("n", len(tokens)), ("digest", hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()), ("prefix", tokens[: prefix_length(len(tokens))].tobytes())):
-                out[name].append(x)
-        return out
-
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    made = stage(arrow_map(named, run, "doc_id long, n long, digest binary, prefix binary").withColumn("row", F.monotonically_increasing_id()))
+def frequency_classes(texts: DataFrame) -> np.ndarray:
+    """For each place of the table (a hash's top bits): 0, or twice the logarithm of how far its count of shingles, over the whole column, lies above what chance
+    would bring. Tasks count for themselves and stretches of the table are added up in parallel; the driver gets one table."""
+    stretch = 1 << (PLACES - 6)
+
+    def count(batches):
+        total = np.zeros(1 << PLACES, dtype=np.int64)
+        for piece in slices(batches, "text"):
+            got = np.concatenate([hashes(t) for t in piece.column(0).to_pylist()])
+            total += np.bincount((got >> np.uint64(64 - PLACES)).astype(np.int64), minlength=1 << PLACES)
+        if total.any():
+            for k in range(64):
+                part = total[k * stretch : (k + 1) * stretch]
+                kind = "<u1" if part.max() < 256 else "<u2" if part.max() < 65536 else "<u8"
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "counts": pa.array([part.astype(kind).tobytes()], pa.binary())})
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(raw, dtype=f"<u{len(raw) // stretch}").astype(np.int64)
+        for k, total in held.items():
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    rows = texts.mapInArrow(count, "k int, counts binary").repartition("k").mapInArrow(add, "k int, counts binary").collect()  # 64 rows
+    total = np.zeros(1 << PLACES, dtype=np.int64)
+    for r in rows:
+        total[r.k * stretch : (r.k + 1) * stretch] = np.frombuffer(r.counts, dtype=np.int64)
+    mean = total.mean()
+    above = np.maximum(total - mean - 4 * np.sqrt(mean), 1)
+    return np.floor(2 * np.log2(above)).astype(np.uint8)
+
+
+def class_of(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return classes[(tokens >> np.uint64(64 - PLACES)).astype(np.int64)]
+
+
+def matches_wanted(n: int, frequency: np.ndarray) -> int:
+    """l of a document of n shingles whose estimated frequencies, in the global order, are given: the choice that costs least. Longer prefixes post
+    more tokens and, with more matches needed, leave fewer of the documents on their lists to verify."""
+    choice = np.unique(np.minimum(1 + n * np.arange(13) // 40, needed(n)))
+    size = n - needed(n) + choice
+    met = np.cumsum(frequency - 1 + STRAY)[size - 1]
+    return int(choice[np.argmin(size + met + met / choice * VERIFY * n)])
+
+
+def prefix(tokens: np.ndarray, classes: np.ndarray) -> tuple[int, np.ndarray]:
+    """l and the prefix of a sorted set of tokens."""
+    n = len(tokens)
+    if not n:
+        return 0, tokens
+    c = class_of(tokens, classes)
+    if c.any():
+        order = np.argsort(c, kind="stable")
+        tokens, c = tokens[order], c[order]
+    wanted = matches_wanted(n, np.exp2(c / 2))
+    return wanted, tokens[: n - needed(n) + wanted]
+
+
+def measured(named: DataFrame, classes: Broadcast) -> DataFrame:
+    """row, doc_id, n, l, digest (of the whole set), prefix, written once. Rows are numbered densely. Of equal sets in a task one posts its prefix."""
+
+    def run(batches):
+        posted: set[bytes] = set()
+        for piece in slices(batches, "text"):
+            out: dict[str, list] = {n: [] for n in ("n", "l", "digest", "prefix")}
+            for text in piece.column(1).to_pylist():
+                tokens = shingles(text)
+                digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+                wanted, first = prefix(tokens, classes.value)
+                for name, x in (("n", len(tokens)), ("l", wanted), ("digest", digest), ("prefix", b"" if digest in posted else first.tobytes())):
+                    out[name].append(x)
+                if len(posted) > 500_000:
+                    posted.clear()
+                posted.add(digest)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(out["n"], pa.int64()), pa.array(out["l"], pa.int64()), pa.array(out["digest"], pa.binary()), pa.array(out["prefix"], pa.binary())], ["doc_id", "n", "l", "digest", "prefix"])
+
+    kind = dict(named.dtypes)["doc_id"]
+    made = stage(named.mapInArrow(run, f"doc_id {kind}, n long, l long, digest binary, prefix binary").withColumn("row", F.monotonically_increasing_id()))
     counts = made.groupBy(F.shiftright("row", 33).alias("part")).count().orderBy("part").collect()  # a number for each partition
     ahead, at = [], 0
     for r in counts:
@@ -117,25 +193,22 @@ def dealt(rows: DataFrame, column: str, partitions: int) -> DataFrame:
     return out.repartition(partitions, "part").select("tokens", "rows")
 
 
-def _met(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A part's rows in the order of their tokens, and where each distinct token begins and how often it comes."""
-    tokens, rows = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
-    for batch in batches:
-        for t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tokens.append(np.frombuffer(t, dtype=np.uint64))
-            rows.append(np.frombuffer(r, dtype="<u4" if len(r) * 2 == len(t) else "<u8").astype(np.int64))
-    t, r = np.concatenate(tokens), np.concatenate(rows)
-    order = np.lexsort((r, t))
-    t, r = t[order], r[order]
-    begin = np.flatnonzero(np.concatenate([t[:1] == t[:1], t[1:] != t[:-1]]))
-    return r, begin, np.diff(np.append(begin, len(t)))
-
-
 def shared_lists(rows: DataFrame, partitions: int) -> DataFrame:
     """list, times, row: the rows that share prefix tokens; lists of equal members are one, with the number of their tokens."""
 
     def gather(batches):
-        r, begin, size = _met(batches)
+        tokens, rows = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+        for batch in batches:
+            for t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens.append(np.frombuffer(t, dtype=np.uint64))
+                rows.append(np.frombuffer(r, dtype="<u4" if len(r) * 2 == len(t) else "<u8").astype(np.int64))
+        t, r = np.concatenate(tokens), np.concatenate(rows)
+        tokens = rows = None
+        order = np.lexsort((r, t))
+        t, r = t[order], r[order]
+        begin = np.flatnonzero(np.concatenate([t[:1] == t[:1], t[1:] != t[:-1]]))
+        size = np.diff(np.append(begin, len(t)))
+        t = order = None
         if not len(begin):
             return
         # members' names are summed twice over: equal sums are equal lists
@@ -143,29 +216,19 @@ def shared_lists(rows: DataFrame, partitions: int) -> DataFrame:
         begin, size, name = begin[size > 1], size[size > 1], name[size > 1]
         if not len(begin):
             return
-        _, first, times = np.unique(name, axis=0, return_index=True, return_counts=True)
-        for a in range(0, len(first), 4096):
-            pick = first[a : a + 4096]
-            spans = [r[begin[i] : begin[i] + size[i]] for i in pick]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name[i].tobytes() for i in pick], pa.binary()), pa.array(times[a : a + 4096], pa.int64()), pa.array(spans, pa.list_(pa.int64()))], ["list", "times", "rows"]
-            )
-
-    gathered = dealt(rows.where("n > 0"), "prefix", partitions).mapInArrow(gather, "list binary, times long, rows array<long>")
-    return gathered.select("list", "times", F.explode("rows").alias("row"))
-
+        name, first, times = np.unique(name, axis=0, return_index=True, return_counts=True)
+        begin, size = begin[first], size[first]
+        cut = np.flatnonzero(np.diff(np.cumsum(size) // 50_000, prepend=-1))
+        for a, z in zip(cut, np.append(cut[1:], len(size)), strict=True):
+            own = size[a:z]
+            member = np.concatenate([r[b : b + s] for b, s in zip(begin[a:z], own, strict=True)])
+            which = np.repeat(np.arange(a, z), own)
+            for k in range(0, len(member), 50_000):  # a list may be longer than a batch
+                w = which[k : k + 50_000]
+                names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(w), [None, pa.py_buffer(np.ascontiguousarray(name[w]))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([names, pa.array(times[w], pa.int64()), pa.array(member[k : k + 50_000], pa.int64())], ["list", "times", "row"])
 
-def common_counts(whole: DataFrame, partitions: int) -> DataFrame:
-    """sid, common: how many of a set's tokens some other of the sets has too."""
-
-    def gather(batches):
-        r, begin, size = _met(batches)
-        if len(begin):
-            row, n = np.unique(r[np.repeat(size > 1, size)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(n)], ["sid", "common"])
-
-    counted = dealt(whole.select(F.col("sid").alias("row"), "tokens"), "tokens", partitions).mapInArrow(gather, "sid long, common long")
-    return counted.groupBy("sid").agg(F.sum("common").alias("common"))
+    return dealt(rows.where("length(prefix) > 0"), "prefix", partitions).mapInArrow(gather, "list binary, times long, row long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,7 +241,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = stage(small)
+        before, now = now, stage(small)
+        release(before)
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == mark:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
@@ -195,175 +259,215 @@ def _sieve(keys: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     return out
 
 
-def whole_sets(sids: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """sid, tokens (all of the set's, packed), written once. The sets' texts are read again: a bitmap sieves them, then a join
-    picks the sets' own documents."""
+def whole_sets(sids: DataFrame, sets: DataFrame, named: DataFrame) -> DataFrame:
+    """sid, tokens (all of the set's, packed), written once. The sets' texts are read again: a bitmap sieves them, then a join on the digest
+    picks the sets."""
     wanted = stage(sids.distinct().join(sets, "sid").select("sid", F.col("doc_id").alias("wanted_id"), "digest"))
-    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted, "wanted_id"))
+    sieve = named.sparkSession.sparkContext.broadcast(_sieve(wanted, "wanted_id"))
 
     def run(batch: pa.RecordBatch) -> dict | None:
-        place = np.asarray(batch.column(2))
+        place = np.asarray(batch.column(1))
         hit = (sieve.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        found = [(ids[i], shingles(texts[i].as_py())) for i in np.flatnonzero(hit)]
+        found = [shingles(batch.column(0)[i].as_py()) for i in np.flatnonzero(hit).tolist()]
         if not found:
             return None
-        return {"doc_id": [d for d, _ in found], "found": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for _, x in found], "tokens": [x.tobytes() for _, x in found]}
+        return {"digest": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found], "tokens": [x.tobytes() for x in found]}
 
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 24)).alias("place"))
-    tokens = arrow_map(named, run, "doc_id long, found binary, tokens binary")
-    # one row for each set, also where rows repeat
-    own = tokens.join(wanted, (F.col("doc_id").eqNullSafe(F.col("wanted_id"))) & (F.col("found") == F.col("digest")))
-    out = stage(own.groupBy("sid").agg(F.first("tokens").alias("tokens")))
+    placed = named.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)).alias("place"))
+    tokens = arrow_map(placed, run, "digest binary, tokens binary")
+    # one row for each set, also where rows repeat; both grow with the corpus, so neither is broadcast
+    own = tokens.hint("merge").join(wanted.select("sid", "digest"), "digest")
+    out = stage(own.groupBy("digest", "sid").agg(F.first("tokens").alias("tokens")).select("sid", "tokens"))
     release(wanted)
     return out
 
 
 def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of sets those whose whole shingle sets are similar."""
-    left = pairs.join(whole.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(whole.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    left = pairs.hint("merge").join(whole.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
+    both = left.hint("merge").join(whole.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
 
     def check(batch: pa.RecordBatch) -> dict | None:
         keep = []
         for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            inter = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            if similar(inter, len(x), len(y)):
+            if similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
                 keep.append(i)
         return {"a": batch.column(0).take(pa.array(keep)), "b": batch.column(1).take(pa.array(keep))} if keep else None
 
     return arrow_map(both, check, "a long, b long", "x")
 
 
-def _rooted(sids: DataFrame, roots: DataFrame) -> DataFrame:
-    return sids.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-
-
-def _block(n: Column, shift: float) -> Column:
-    """Sizes in a block are within the ratio of similar sets; a second blocking is shifted by half a block."""
-    return F.floor(F.log(n) / F.log(F.lit(100 / PERCENT)) + F.lit(shift)).cast("int")
-
-
-def _burdened(n: str, h: str) -> Column:
-    """More dear tokens than a match with the smallest partner could do without."""
-    return F.col(h) > F.floor(F.floor(F.col(n) * PERCENT / 100) / 10)
+def _block(n: Column, shift: float = 0.0) -> Column:
+    """Sizes of similar sets lie in one block or in neighbouring ones: a block is a shade wider than their ratio."""
+    return F.floor(F.log(n) / F.log(F.lit(100 / PERCENT + 1e-4)) + F.lit(shift)).cast("int")
 
 
-def star_pairs(lists: DataFrame, least: int | None = None) -> DataFrame:
-    """a, b: a set and the pivot, of those of its lists, that it shares most tokens with; one for each blocking of sizes. The pivot of a list
-    (and block) is the member of most fame. ``least``: tokens to share, a tenth of the set's and one unless given."""
-    blocks = F.explode(F.array(F.struct(F.lit(0).alias("k"), _block(F.col("n"), 0.0).alias("b")), F.struct(F.lit(1).alias("k"), _block(F.col("n"), 0.5).alias("b"))))
-    blocked = lists.select("list", "times", "sid", "n", "fame", blocks.alias("at")).select("list", "times", "sid", "n", "fame", "at.k", "at.b")
-    pivots = blocked.groupBy("list", "k", "b").agg(F.max(F.struct("fame", -F.col("sid"))).alias("x")).select("list", "k", "b", (-F.col("x.col2")).alias("pivot"))
-    star = blocked.join(pivots, ["list", "k", "b"]).where("sid <> pivot").groupBy("sid", "n", "pivot", "k").agg(F.sum("times").alias("c"))
-    star = star.where(F.col("c") >= (F.lit(least) if least else 1 + F.floor(F.col("n") / 10)))  # fewer may still match later
-    best = star.groupBy("sid", "k").agg(F.max(F.struct("c", -F.col("pivot"))).alias("x"))
+def star_pairs(lists: DataFrame) -> DataFrame:
+    """a, b: a set and the pivot, of those of its lists, that it shares most tokens with; one for each of two blockings of sizes. The pivot of
+    a list (and block) is the member of most fame."""
+    blocks = F.explode(F.array(F.struct(F.lit(0).alias("k"), _block(F.col("n")).alias("b")), F.struct(F.lit(1).alias("k"), _block(F.col("n"), 0.5).alias("b"))))
+    cut = lists.select("list", "times", "sid", "l", "fame", blocks.alias("at")).select("list", "times", "sid", "l", "fame", "at.k", "at.b")
+    pivots = cut.groupBy("list", "k", "b").agg(F.max(F.struct("fame", -F.col("sid"))).alias("x")).select("list", "k", "b", (-F.col("x.col2")).alias("pivot"))
+    star = cut.join(pivots, ["list", "k", "b"]).where("sid <> pivot").groupBy("sid", "l", "pivot", "k").agg(F.sum("times").alias("c"))
+    best = star.where("2 * c >= l").groupBy("sid", "k").agg(F.max(F.struct("c", -F.col("pivot"))).alias("x"))  # what is passed over here may still match later
     return best.select(F.col("sid").alias("a"), (-F.col("x.col2")).alias("b")).distinct()
 
 
-def _open(entries: DataFrame) -> DataFrame:
-    """Entries of lists that hold more than one class, and ``free``: the most dear tokens of a list's sets that are not burdened."""
-    free = F.coalesce(F.max(F.when(~_burdened("n", "h"), F.col("h"))), F.lit(0)).alias("free")
-    mixed = entries.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), free).where("low <> high").select("list", "free")
-    return entries.drop("free").join(mixed, "list")
+def _blocked(entries: DataFrame) -> DataFrame:
+    """Entries once in the block of their size (own) and once as guests of the next larger one: two similar sets, not both guests, meet in the block of the larger."""
+    own = _block(F.col("n"))
+    at = F.explode(F.array(F.struct(own.alias("k"), F.lit(True).alias("own")), F.struct((own + 1).alias("k"), F.lit(False).alias("own"))))
+    return entries.withColumn("at", at).select(*entries.columns, "at.k", "at.own")
 
 
 def _sharing(entries: DataFrame) -> DataFrame:
-    """Entries, of lists that stay open, of sets that share enough prefix tokens for a match with any other class: a tenth of the set and one,
-    of which a set that was not matched on its dear tokens may have those unseen. One that was may have as many unseen as a partner that was
-    not has; the two meet in a list, as such a partner has fewer dear tokens than a match needs."""
-    shared = entries.groupBy(F.col("sid").alias("of")).agg(F.sum("times").alias("shared"), F.max("free").alias("partner"))
-    unseen = F.when(_burdened("n", "h"), F.least("h", "partner")).otherwise(F.col("h"))
-    enough = entries.join(shared, F.col("sid") == F.col("of")).where(F.col("shared") + unseen >= 1 + F.floor(F.col("n") / 10))
-    return _open(enough.drop("of", "shared", "partner"))
+    """Entries of lists (in a block) that hold different classes, of sets that share enough tokens there: as many as they, or the least of
+    those they meet, need."""
+    open_ = entries.groupBy("list", "k").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("l").alias("least"), F.max("own").alias("owned")).where("low <> high AND owned").select("list", "k", "least")
+    held = entries.join(open_, ["list", "k"])
+    enough = held.groupBy("sid", "k").agg(F.sum("times").alias("shared"), F.min("least").alias("any"), F.first("l").alias("l")).where("shared >= least(l, any)").select("sid", "k")
+    return held.drop("least").join(enough, ["sid", "k"], "left_semi")
 
 
-def candidate_pairs(entries: DataFrame) -> DataFrame:
-    """a, b, c, and n and h of both: pairs of different classes whose sizes allow similarity, with the number of tokens of the lists that hold both."""
-    lists = entries.groupBy("list").agg(F.max("times").alias("times"), F.collect_list(F.struct("sid", "n", "root", "h", "most")).alias("s"))
+def short_pairs(lists: DataFrame) -> DataFrame:
+    """a, b, c, need: pairs of different classes and of sizes that allow similarity, of lists (list, k) of few members; how many of the lists' tokens hold both, and
+    how many must. Not of two guests; of differences, a set whose difference is not the larger one meets another by the first part of its prefix."""
+    held = lists.groupBy("list", "k").agg(F.max("times").alias("times"), F.collect_list(F.struct("sid", "n", "root", "l", "h", "own", "first", "e")).alias("s"))
 
     def cross(batch: pa.RecordBatch) -> dict | None:
         out = []
         for times, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sid, n, root, h, most = (np.array([x[k] for x in members]) for k in ("sid", "n", "root", "h", "most"))
-            order = np.lexsort((sid, n))
-            sid, n, root, h, most = sid[order], n[order], root[order], h[order], most[order]
-            low = np.searchsorted(n, -(-n * PERCENT // 100))  # partners' sizes: not below this,
-            high = np.minimum(np.searchsorted(n, most, side="right"), np.arange(len(n)))  # nor above what is shared allows
-            for i in np.flatnonzero(low < high):
-                j = np.arange(low[i], high[i])
-                j = j[(root[j] != root[i]) & (most[j] >= n[i])]
-                if len(j):
-                    one = np.full(len(j), i)
-                    swap = sid[one] > sid[j]
-                    x, y = np.where(swap, j, one), np.where(swap, one, j)
-                    out.append(np.stack([sid[x], sid[y], n[x], n[y], h[x], h[y], np.full(len(j), times)], axis=1))
-        if not out:
-            return None
-        pairs, at = np.unique(np.concatenate(out)[:, :6], axis=0, return_inverse=True)
-        c = np.bincount(at.ravel(), np.concatenate(out)[:, 6]).astype(np.int64)
-        return dict(zip(("a", "b", "na", "nb", "ha", "hb"), pairs.T, strict=True)) | {"c": c}
+            sid, n, root, l, h, own, first, e = (np.array([x[k] for x in members]) for k in ("sid", "n", "root", "l", "h", "own", "first", "e"))
+            i, j = np.triu_indices(len(sid), 1)
+            fit = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (own[i] | own[j])
+            fit &= (first[i] & (e[i] <= e[j])) | (first[j] & (e[j] <= e[i]))
+            i, j = i[fit], j[fit]
+            if len(i):
+                a, b = np.where(sid[i] < sid[j], i, j), np.where(sid[i] < sid[j], j, i)
+                out.append(np.stack([sid[a], sid[b], np.full(len(a), times), np.minimum(l[a], l[b]) - np.minimum(h[a], h[b])]))
+        return dict(zip(("a", "b", "c", "need"), np.concatenate(out, axis=1), strict=True)) if out else None
+
+    found = arrow_map(held.select("times", "s", F.lit("").alias("text")), cross, "a long, b long, c long, need long", "text", 1024)
+    return found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
+
+
+def difference(x: np.ndarray, q: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The tokens in which x and q differ, those first that few sets near q differ in: of x's own the rare ones, then of q's the frequent ones."""
+    e = np.setxor1d(x, q, assume_unique=True)
+    c = class_of(e, classes).astype(np.int64)
+    return e[np.lexsort((e, np.where(np.isin(e, q, assume_unique=True), 1000 - c, c)))]
+
 
-    sized = lists.select("times", "s", F.lit("").alias("text"))
-    found = arrow_map(sized, cross, "a long, b long, na long, nb long, ha long, hb long, c long", "text", 1024)
-    return found.groupBy("a", "b", "na", "nb", "ha", "hb").agg(F.sum("c").alias("c"))
+def prefixes_of_difference(size: int, n: int) -> tuple[int, int]:
+    """How many tokens of a difference of that size must be posted to meet every similar set (with the same pivot, and not both similar to that) whose
+    difference is as large or larger, and every one whose difference is as large or smaller."""
+    apart = (n + 100 * n // PERCENT) * (100 - PERCENT) // (100 + PERCENT)  # similar sets differ in no more tokens
+    return min(size, apart // 2 + 1), min(size, apart + 1)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dear: int = 64) -> DataFrame:
+def rebased(long: DataFrame, whole: DataFrame, classes: Broadcast) -> DataFrame:
+    """sid, n, root, fame, list, first, e for the tokens of differences to pivots; rows without a list are links of sid to the pivot (root)."""
+    top = long.groupBy("list", "k").agg(F.max(F.struct("fame", -F.col("sid"), "root")).alias("x")).select("list", "k", (-F.col("x.col2")).alias("q"), F.col("x.root").alias("q_root"))
+    near = long.join(top, ["list", "k"]).where("sid <> q").groupBy("sid", "q").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.first("fame").alias("fame"), F.first("q_root").alias("q_root"))
+    both = near.hint("merge").join(whole.select("sid", F.col("tokens").alias("x")), "sid").hint("merge").join(whole.select(F.col("sid").alias("q"), F.col("tokens").alias("y")), "q")
+
+    def run(batch: pa.RecordBatch) -> dict | None:
+        sid, q, n, root, fame, q_root = (batch.column(k).to_pylist() for k in range(6))
+        out: dict[str, list] = {k: [np.empty(0, dtype=np.int64)] for k in ("sid", "n", "root", "list", "first", "e")} | {"fame": [np.empty(0)]}
+        for i, (x, y) in enumerate(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)):
+            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            d = difference(x, y, classes.value)
+            linked = similar((len(x) + len(y) - len(d)) // 2, len(x), len(y))
+            first, all_ = prefixes_of_difference(len(d), len(x))
+            tokens = (mix(d[:all_] ^ mix(np.array([q[i]], dtype=np.uint64))) >> np.uint64(1)).astype(np.int64)
+            if linked:
+                tokens = np.append(tokens, -1)
+            own = q_root[i] if linked else root[i]
+            for name, v in (("sid", sid[i]), ("n", n[i]), ("root", own), ("fame", fame[i]), ("e", len(d))):
+                out[name].append(np.full(len(tokens), v))
+            out["list"].append(tokens)
+            out["first"].append((np.arange(len(tokens)) < first).astype(np.int64))
+        made = {k: np.concatenate(v) for k, v in out.items()}
+        return made | {"first": made["first"] == 1} if len(made["sid"]) else None
+
+    return arrow_map(both.select("sid", "q", "n", "root", "fame", "q_root", "x", "y"), run, "sid long, n long, root long, fame double, list long, first boolean, e long", "x", 256)
+
+
+def _lengths(entries: DataFrame) -> DataFrame:
+    sizes = entries.groupBy("list", "k").agg(F.count("*").alias("m"))
+    return entries.join(sizes, ["list", "k"])
+
+
+def candidates(entries: DataFrame, whole: DataFrame, classes: Broadcast, short: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that are to be verified, and links (a, b) found on the way, from entries (list, k, times, sid, n, l, root, own, fame)."""
+    pairs, links, used = [], [], []
+    sized = stage(_lengths(entries).withColumns({"first": F.lit(True), "e": F.lit(0).cast("long")}))
+    while True:
+        used.append(sized)
+        long = sized.where(F.col("m") > short)
+        # a set's tokens on long lists, which are not counted; on lists of differences one token is enough
+        unseen = long.groupBy("sid", "k").agg(F.sum("times").alias("h"))
+        rest = sized.where(F.col("m") <= short).join(unseen, ["sid", "k"], "left").withColumn("h", F.coalesce("h", F.lit(0)))
+        pairs.append(stage(short_pairs(rest).where("c >= need").select("a", "b")))
+        if long.isEmpty():
+            break
+        made = stage(rebased(long, whole, classes))
+        links.append(stage(made.where("list = -1").select(F.col("sid").alias("a"), F.col("root").alias("b"))))
+        lists = made.where("list >= 0")
+        open_ = lists.groupBy("list").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("first").alias("some")).where("m > 1 AND low <> high AND some").select("list", "m")
+        sized = stage(
+            lists.join(open_, "list")
+            .select("list", F.lit(0).alias("k"), F.lit(1).cast("long").alias("times"), "sid", "n", F.lit(1).cast("long").alias("l"), "root", F.lit(True).alias("own"), "fame", "m", "first", "e")
+        )
+        release(made)
+    found = stage(reduce(DataFrame.unionByName, pairs).distinct())
+    for x in [*used, *pairs]:
+        release(x)
+    return found, (reduce(DataFrame.unionByName, links) if links else found.limit(0))
+
+
+def _rooted(sids: DataFrame, roots: DataFrame) -> DataFrame:
+    return sids.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
-    Documents without a word link with nothing. Rows that repeat an id are documents of their own; a null id is never
-    the smallest. An empty table gives an empty result."""
+    Documents without a word (null or empty texts too) link with nothing. Rows that repeat an id are documents of their own; a null id is never
+    the smallest. Other columns are not read. An empty table gives an empty result. ``short``: members of a list above which it is rebased; it
+    doesn't change the result."""
     spark = docs.sparkSession
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = measured(docs, id_col, text_col)
-    named = rows.select("row", "doc_id", "n", "digest")
-    first = named.where("n > 0").groupBy("digest").agg(F.min("row").alias("sid"))
-    members = stage(named.join(first, "digest", "left"))  # sid is null for documents without a word
-    sets = members.where("row = sid").select("sid", "doc_id", "digest", "n")
-
-    # lists of rows become lists of sets
-    entries = shared_lists(rows, partitions).groupBy("list", "row").agg(F.sum("times").alias("times"))
-    entries = stage(entries.join(members.where("n > 0").select("row", "sid", "n"), "row").groupBy("list", "sid", "n").agg(F.max("times").alias("times")))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    classes = spark.sparkContext.broadcast(frequency_classes(named.select("text")))  # 2**PLACES bytes
+    rows = measured(named, classes)
+    tokens = rows.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    members = rows.select("row", "doc_id", "n", "l", "digest")
+    first = members.where("n > 0").groupBy("digest").agg(F.min("row").alias("sid"))
+    members = stage(members.join(first, "digest", "left"))  # sid is null for documents without a word
+    sets = members.where("row = sid").select("sid", "doc_id", "digest")
+
+    # lists of rows become lists of sets, of which those stay that share enough tokens with any others
+    entries = shared_lists(rows, parts_of(spark, tokens / 8, GATHERED)).groupBy("list", "row").agg(F.sum("times").alias("times"))
+    entries = stage(entries.join(members.where("n > 0").select("row", "sid", "n", "l"), "row").groupBy("list", "sid", "n", "l").agg(F.max("times").alias("times")))
     release(rows)
-    sizes = entries.groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
-    lists = stage(entries.join(sizes, "list"))
+    sizes = entries.groupBy("list").agg(F.count("*").alias("m"), F.min("l").alias("least")).where("m > 1")
+    met = entries.join(sizes, "list")
+    enough = met.groupBy("sid").agg(F.sum("times").alias("shared"), F.min("least").alias("any"), F.first("l").alias("own_l"), (F.sum(F.col("times") * F.col("m")) / F.first("n")).alias("fame"))
+    enough = enough.where("shared >= least(own_l, any)").select("sid", "fame")
+    lists = stage(met.join(enough, "sid").select("list", "times", "sid", "n", "l", "fame"))
     release(entries)
-
-    # first round: each set against pivots of its lists, whose tokens are the most widely shared
-    fame = lists.groupBy("sid").agg((F.sum(F.col("times") * F.col("m")) / F.first("n")).alias("fame"))
-    lists = stage(lists.join(fame, "sid"))
-    best = stage(star_pairs(lists))
-    whole = whole_sets(best.select(F.col("a").alias("sid")).unionByName(best.select(F.col("b").alias("sid"))), sets, docs, id_col, text_col)
-    roots = stage(components(verified(best, whole)))
-    release(whole)
-
-    # second round: whatever of different classes still shares enough prefix tokens
-    burden = lists.where(F.col("m") > dear).groupBy("sid").agg(F.sum("times").alias("h"))
-    tagged = _rooted(lists, roots).join(burden, "sid", "left").withColumn("h", F.coalesce("h", F.lit(0)))
-    useful = stage(tagged.where((F.col("m") <= dear) | _burdened("n", "h")))
-    contested = stage(_sharing(_sharing(_open(useful))))
-    whole = whole_sets(contested.select("sid"), sets, docs, id_col, text_col)
-    # a set that shares `common` tokens with all others together has no similar one above this size
-    limit = F.floor((100 + PERCENT) * F.col("common") / PERCENT).cast("long") - F.col("n")
-    able = contested.join(common_counts(whole, partitions), "sid").withColumn("most", limit).where(F.col("most") >= F.ceil(F.col("n") * PERCENT / 100))
-    able = stage(able)
-    # again against pivots, now among sets that could match at all, so that large classes are whole before pairs are made
-    more = verified(stage(star_pairs(_open(able), 1)), whole)
-    roots = stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
-    pairs = candidate_pairs(_open(_rooted(able.drop("root"), roots)))
-    # similar sets share this many tokens, of which those beyond either one's prefix may be missing here (not always most beyond the larger one's)
-    beyond = F.greatest(F.lit(0), *(F.ceil(F.col(n) * PERCENT / 100) - 1 - F.floor(F.col(n) / 10) for n in ("na", "nb")))
-    needed = F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT)) - beyond
-    # as may dear tokens, unless both sets were matched on those too
-    unseen = F.when(_burdened("na", "ha") & _burdened("nb", "hb"), 0).otherwise(F.least("ha", "hb"))
-    left = stage(pairs.where(F.col("c") + unseen >= needed).select("a", "b"))
-    joined = verified(left, whole)
-    final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(joined))
-    final = stage(final)
-    release(whole)
-    of_set = _rooted(sets.select("sid"), final)
-    placed = members.join(of_set, "sid", "left")
+    whole = whole_sets(lists.select("sid"), sets, named)
+
+    stars = stage(star_pairs(lists))
+    roots = stage(components(verified(stars, whole)))
+    open_ = stage(_sharing(_sharing(_blocked(_rooted(lists, roots)))))
+    release(lists)
+    pairs, links = candidates(open_, whole, classes, short)
+    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links).unionByName(verified(pairs, whole))
+    final = stage(components(edges))
+    for x in (whole, stars, roots, open_, pairs):
+        release(x)
+    placed = members.join(_rooted(sets.select("sid"), final), "sid", "left")
     class_id = placed.where("sid IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(class_id, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
