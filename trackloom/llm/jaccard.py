@@ -17,6 +17,7 @@ Candidates are verified by the intersection of whole shingle sets.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -35,6 +36,8 @@ PLACES = 20
 STRAY, VERIFY = 0.2, 0.25
 #: Members of a list that become pairs; longer lists are rebased.
 SHORT = 16
+#: Sets brought to one place of another.
+MET = 2048
 #: Prefix tokens that a task gathers.
 GATHERED = 6_000_000
 _FACTORS = np.random.default_rng(3).integers(1, 1 << 63, size=WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,6 +78,10 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(hashes(text))
 
 
+def digest_of(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
 def needed(n: int) -> int:
     """Tokens that a set of n shares with every similar set."""
     return -(-PERCENT * n // 100)
@@ -152,7 +159,7 @@ def measured(named: DataFrame, classes: Broadcast) -> DataFrame:
             out: dict[str, list] = {n: [] for n in ("n", "l", "digest", "prefix")}
             for text in piece.column(1).to_pylist():
                 tokens = shingles(text)
-                digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+                digest = digest_of(tokens)
                 wanted, first = prefix(tokens, classes.value)
                 for name, x in (("n", len(tokens)), ("l", wanted), ("digest", digest), ("prefix", b"" if digest in posted else first.tobytes())):
                     out[name].append(x)
@@ -259,43 +266,61 @@ def _sieve(keys: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     return out
 
 
-def whole_sets(sids: DataFrame, sets: DataFrame, named: DataFrame) -> DataFrame:
-    """sid, tokens (all of the set's, packed), written once. The sets' texts are read again: a bitmap sieves them, then a join on the digest
-    picks the sets."""
-    wanted = stage(sids.distinct().join(sets, "sid").select("sid", F.col("doc_id").alias("wanted_id"), "digest"))
+def texts_of(sids: DataFrame, sets: DataFrame, named: DataFrame) -> DataFrame:
+    """digest, text: one text for each of the sets. All texts are read again: a bitmap sieves them, then a join on the digest picks the sets'."""
+    wanted = stage(sids.distinct().join(sets, "sid").select(F.col("doc_id").alias("wanted_id"), "digest"))
     sieve = named.sparkSession.sparkContext.broadcast(_sieve(wanted, "wanted_id"))
 
     def run(batch: pa.RecordBatch) -> dict | None:
         place = np.asarray(batch.column(1))
-        hit = (sieve.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
-        found = [shingles(batch.column(0)[i].as_py()) for i in np.flatnonzero(hit).tolist()]
-        if not found:
+        hit = np.flatnonzero((sieve.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1)
+        if not len(hit):
             return None
-        return {"digest": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found], "tokens": [x.tobytes() for x in found]}
+        texts = batch.column(0).take(pa.array(hit))
+        return {"digest": [digest_of(shingles(t)) for t in texts.to_pylist()], "text": texts}
 
     placed = named.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)).alias("place"))
-    tokens = arrow_map(placed, run, "digest binary, tokens binary")
-    # one row for each set, also where rows repeat; both grow with the corpus, so neither is broadcast
-    own = tokens.hint("merge").join(wanted.select("sid", "digest"), "digest")
-    out = stage(own.groupBy("digest", "sid").agg(F.first("tokens").alias("tokens")).select("sid", "tokens"))
-    release(wanted)
-    return out
+    found = arrow_map(placed, run, "digest binary, text string")
+    # one row for each set, also where rows repeat; both sides grow with the corpus, so neither is broadcast
+    return found.hint("merge").join(wanted.select("digest"), "digest").groupBy("digest").agg(F.first("text").alias("text"))
+
+
+def brought(pairs: DataFrame, sets: DataFrame, texts: DataFrame, fn: Callable[[dict, np.ndarray, np.ndarray], None], schema: str) -> DataFrame:
+    """The sets of pairs (a, b, and columns besides), each a brought to its b and compared there, by ``fn(row, tokens of a, tokens of b)``, which yields rows as dicts.
+    A text travels once to each b. A b that many meet stands in several places, among which they are dealt."""
+    extra = [c for c in pairs.columns if c not in ("a", "b")]
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / MET).cast("int").alias("places"))
+    each = pairs.join(many, "b").select(F.col("a").alias("sid"), "b", F.pmod(F.xxhash64("a"), F.col("places")).cast("int").alias("place"), F.lit(1).alias("late"), *extra)
+    own = many.select(F.col("b").alias("sid"), "b", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("late"), *(F.lit(None).cast(t).alias(c) for c, t in pairs.dtypes if c in extra))
+    roles = each.unionByName(own).join(sets.select("sid", "digest"), "sid")
+    met = roles.hint("merge").join(texts, "digest").drop("digest").repartition("b", "place").sortWithinPartitions("b", "place", "late")
+    fields = [f.split(" ") for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = pa.schema([(n, kinds[k]) for n, k in fields])
+
+    def run(batches):
+        tokens = None
+        for piece in slices(batches, "text", 256):
+            out = []
+            for row in piece.to_pylist():
+                if row["late"]:
+                    out += fn(row, shingles(row["text"]), tokens)
+                else:
+                    tokens = shingles(row["text"])
+            for k in range(0, len(out), 20_000):
+                yield pa.RecordBatch.from_pylist(out[k : k + 20_000], kinds)
+
+    return met.select("sid", "b", "late", "text", *extra).mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of sets those whose whole shingle sets are similar."""
-    left = pairs.hint("merge").join(whole.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.hint("merge").join(whole.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
 
-    def check(batch: pa.RecordBatch) -> dict | None:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            if similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                keep.append(i)
-        return {"a": batch.column(0).take(pa.array(keep)), "b": batch.column(1).take(pa.array(keep))} if keep else None
+    def check(row: dict, x: np.ndarray, y: np.ndarray):
+        if similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+            yield {"a": row["sid"], "b": row["b"]}
 
-    return arrow_map(both, check, "a long, b long", "x")
+    return brought(pairs.select("a", "b"), sets, texts, check, "a long, b long")
 
 
 def _block(n: Column, shift: float = 0.0) -> Column:
@@ -304,14 +329,14 @@ def _block(n: Column, shift: float = 0.0) -> Column:
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """a, b: a set and the pivot, of those of its lists, that it shares most tokens with; one for each of two blockings of sizes. The pivot of
-    a list (and block) is the member of most fame."""
+    """a, b: a set and the pivot, of those of its lists, that it shares most tokens with. The pivot of a list is the member of most fame of those
+    whose size is in a block with the set's, by either of two blockings."""
     blocks = F.explode(F.array(F.struct(F.lit(0).alias("k"), _block(F.col("n")).alias("b")), F.struct(F.lit(1).alias("k"), _block(F.col("n"), 0.5).alias("b"))))
     cut = lists.select("list", "times", "sid", "l", "fame", blocks.alias("at")).select("list", "times", "sid", "l", "fame", "at.k", "at.b")
     pivots = cut.groupBy("list", "k", "b").agg(F.max(F.struct("fame", -F.col("sid"))).alias("x")).select("list", "k", "b", (-F.col("x.col2")).alias("pivot"))
     star = cut.join(pivots, ["list", "k", "b"]).where("sid <> pivot").groupBy("sid", "l", "pivot", "k").agg(F.sum("times").alias("c"))
-    best = star.where("2 * c >= l").groupBy("sid", "k").agg(F.max(F.struct("c", -F.col("pivot"))).alias("x"))  # what is passed over here may still match later
-    return best.select(F.col("sid").alias("a"), (-F.col("x.col2")).alias("b")).distinct()
+    best = star.where("2 * c >= l").groupBy("sid").agg(F.max(F.struct("c", -F.col("pivot"))).alias("x"))  # what is passed over here may still match later
+    return best.select(F.col("sid").alias("a"), (-F.col("x.col2")).alias("b"))
 
 
 def _blocked(entries: DataFrame) -> DataFrame:
@@ -366,32 +391,23 @@ def prefixes_of_difference(size: int, n: int) -> tuple[int, int]:
     return min(size, apart // 2 + 1), min(size, apart + 1)
 
 
-def rebased(long: DataFrame, whole: DataFrame, classes: Broadcast) -> DataFrame:
-    """sid, n, root, fame, list, first, e for the tokens of differences to pivots; rows without a list are links of sid to the pivot (root)."""
-    top = long.groupBy("list", "k").agg(F.max(F.struct("fame", -F.col("sid"), "root")).alias("x")).select("list", "k", (-F.col("x.col2")).alias("q"), F.col("x.root").alias("q_root"))
-    near = long.join(top, ["list", "k"]).where("sid <> q").groupBy("sid", "q").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.first("fame").alias("fame"), F.first("q_root").alias("q_root"))
-    both = near.hint("merge").join(whole.select("sid", F.col("tokens").alias("x")), "sid").hint("merge").join(whole.select(F.col("sid").alias("q"), F.col("tokens").alias("y")), "q")
+def rebased(long: DataFrame, sets: DataFrame, texts: DataFrame, classes: Broadcast) -> DataFrame:
+    """sid, n, root, fame, list, first, e for the tokens of differences to pivots; rows of list -1 are links of sid to the pivot's class (root)."""
+    top = long.groupBy("list", "k").agg(F.max(F.struct("fame", -F.col("sid"), "root")).alias("x")).select("list", "k", (-F.col("x.col2")).alias("b"), F.col("x.root").alias("b_root"))
+    near = long.join(top, ["list", "k"]).where("sid <> b").groupBy(F.col("sid").alias("a"), "b").agg(*(F.first(c).alias(c) for c in ("root", "fame", "b_root")))
 
-    def run(batch: pa.RecordBatch) -> dict | None:
-        sid, q, n, root, fame, q_root = (batch.column(k).to_pylist() for k in range(6))
-        out: dict[str, list] = {k: [np.empty(0, dtype=np.int64)] for k in ("sid", "n", "root", "list", "first", "e")} | {"fame": [np.empty(0)]}
-        for i, (x, y) in enumerate(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            d = difference(x, y, classes.value)
-            linked = similar((len(x) + len(y) - len(d)) // 2, len(x), len(y))
-            first, all_ = prefixes_of_difference(len(d), len(x))
-            tokens = (mix(d[:all_] ^ mix(np.array([q[i]], dtype=np.uint64))) >> np.uint64(1)).astype(np.int64)
-            if linked:
-                tokens = np.append(tokens, -1)
-            own = q_root[i] if linked else root[i]
-            for name, v in (("sid", sid[i]), ("n", n[i]), ("root", own), ("fame", fame[i]), ("e", len(d))):
-                out[name].append(np.full(len(tokens), v))
-            out["list"].append(tokens)
-            out["first"].append((np.arange(len(tokens)) < first).astype(np.int64))
-        made = {k: np.concatenate(v) for k, v in out.items()}
-        return made | {"first": made["first"] == 1} if len(made["sid"]) else None
-
-    return arrow_map(both.select("sid", "q", "n", "root", "fame", "q_root", "x", "y"), run, "sid long, n long, root long, fame double, list long, first boolean, e long", "x", 256)
+    def differ(row: dict, x: np.ndarray, q: np.ndarray):
+        d = difference(x, q, classes.value)
+        linked = similar((len(x) + len(q) - len(d)) // 2, len(x), len(q))
+        first, every = prefixes_of_difference(len(d), len(x))
+        tokens = (mix(d[:every] ^ mix(np.array([row["b"]], dtype=np.uint64))) >> np.uint64(1)).tolist()
+        own = {"sid": row["sid"], "n": len(x), "root": row["b_root"] if linked else row["root"], "fame": row["fame"], "e": len(d)}
+        if linked:
+            yield own | {"list": -1, "first": False}
+        for i, t in enumerate(tokens):
+            yield own | {"list": t, "first": i < first}
+
+    return brought(near, sets, texts, differ, "sid long, n long, root long, fame double, list long, first boolean, e long")
 
 
 def _lengths(entries: DataFrame) -> DataFrame:
@@ -399,7 +415,7 @@ def _lengths(entries: DataFrame) -> DataFrame:
     return entries.join(sizes, ["list", "k"])
 
 
-def candidates(entries: DataFrame, whole: DataFrame, classes: Broadcast, short: int) -> tuple[DataFrame, DataFrame]:
+def candidates(entries: DataFrame, sets: DataFrame, texts: DataFrame, classes: Broadcast, short: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) that are to be verified, and links (a, b) found on the way, from entries (list, k, times, sid, n, l, root, own, fame)."""
     pairs, links, used = [], [], []
     sized = stage(_lengths(entries).withColumns({"first": F.lit(True), "e": F.lit(0).cast("long")}))
@@ -412,7 +428,7 @@ def candidates(entries: DataFrame, whole: DataFrame, classes: Broadcast, short:
         pairs.append(stage(short_pairs(rest).where("c >= need").select("a", "b")))
         if long.isEmpty():
             break
-        made = stage(rebased(long, whole, classes))
+        made = stage(rebased(long, sets, texts, classes))
         links.append(stage(made.where("list = -1").select(F.col("sid").alias("a"), F.col("root").alias("b"))))
         lists = made.where("list >= 0")
         open_ = lists.groupBy("list").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("first").alias("some")).where("m > 1 AND low <> high AND some").select("list", "m")
@@ -457,16 +473,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     enough = enough.where("shared >= least(own_l, any)").select("sid", "fame")
     lists = stage(met.join(enough, "sid").select("list", "times", "sid", "n", "l", "fame"))
     release(entries)
-    whole = whole_sets(lists.select("sid"), sets, named)
 
     stars = stage(star_pairs(lists))
-    roots = stage(components(verified(stars, whole)))
+    starred = stars.select(F.col("a").alias("sid")).unionByName(stars.select(F.col("b").alias("sid")))
+    roots = stage(components(verified(stars, sets, texts_of(starred, sets, named))))
     open_ = stage(_sharing(_sharing(_blocked(_rooted(lists, roots)))))
     release(lists)
-    pairs, links = candidates(open_, whole, classes, short)
-    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links).unionByName(verified(pairs, whole))
+    texts = stage(texts_of(open_.select("sid"), sets, named))
+    pairs, links = candidates(open_, sets, texts, classes, short)
+    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links).unionByName(verified(pairs, sets, texts))
     final = stage(components(edges))
-    for x in (whole, stars, roots, open_, pairs):
+    for x in (texts, stars, roots, open_, pairs):
         release(x)
     placed = members.join(_rooted(sets.select("sid"), final), "sid", "left")
     class_id = placed.where("sid IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
