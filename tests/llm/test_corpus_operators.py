@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 from pathlib import Path
 
 import duckdb
@@ -153,7 +154,7 @@ def test_bounds_of_prefixes_hold_for_all_sizes():
                 assert inter - max(jaccard.needed(n) - l, jaccard.needed(m) - l) >= l
             apart = n + m - 2 * inter
             for own, size in ((n, apart), (m, apart), (n, apart + 5), (m, 2 * apart + 3)):
-                first, every = jaccard.prefixes_of_difference(size, own)
+                first, every = jaccard.prefixes_of_difference(size, own, own, False)
                 for other in range(size, size + apart + 1):  # sizes of the other difference, from which the overlap follows
                     both = max(1, -(-(size + other - apart) // 2))
                     assert both > size or size - both + 1 <= first
@@ -162,6 +163,18 @@ def test_bounds_of_prefixes_hold_for_all_sizes():
                     assert both > size or size - both + 1 <= every
 
 
+def test_bounds_for_sets_similar_to_the_pivot():
+    """x is similar to the pivot and y is not: the tokens that their differences share if x and y are similar, from the sizes of all three."""
+    for n in range(1, 90):
+        for q in range(-(-80 * n // 100), 100 * n // 80 + 1):
+            for size in range(abs(n - q), (n + q) // 9 + 1, 2):
+                first, every = jaccard.prefixes_of_difference(size, n, q, True)
+                for m in range(-(-80 * n // 100), 100 * n // 80 + 1):
+                    far = (m + q) // 9 + 1  # the least difference of a set of m that is not similar to the pivot
+                    both = max(1, -(-(size + far - (n + m) // 9) // 2))
+                    assert both > size or size - both + 1 <= first == every
+
+
 def test_prefixes_follow_the_cost_of_candidates():
     rare, hot = np.ones(200), np.concatenate([np.ones(45), np.full(155, 4000.0)])
     assert jaccard.matches_wanted(200, hot) < jaccard.matches_wanted(200, rare) < jaccard.matches_wanted(200, np.full(200, 5.0))
@@ -266,10 +279,22 @@ def test_same_rows_as_sql(spark, name):
 # the pipeline
 
 
+def test_near_copies_go_by_row_where_ids_repeat(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    table = spark.createDataFrame([(3, long, 1, 2, 3), (9, long, 1, 2, 3), (9, "an unrelated text of six words", 1, 2, 3), (None, long + " more", 1, 2, 3), (None, None, 1, 2, 3)], "doc_id long, text string, gone int, row int, stay int")
+    got = corpus_pipeline.near_copies(spark, table, "")
+    assert got.columns == table.columns
+    assert sorted((str(r.doc_id), (r.text or "")[:2]) for r in got.collect()) == [("3", "w0"), ("9", "an"), ("None", "")]
+    same = table.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    for step in (corpus_pipeline.near_copies, corpus_pipeline.exact_copies, corpus_pipeline.secrets):
+        assert step(spark, same, "").columns == table.columns
+    assert corpus_pipeline.near_copies(spark, same.where("false"), "").count() == 0
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
 def test_pipeline_against_its_stages_by_hand(spark):
     given = spark.read.parquet(f"{DATA}/documents.parquet").toPandas().sort_values("doc_id")
-    rows = [(i, t) for i, t in zip(given.doc_id.tolist(), given.text.tolist()) if re.search(r"[^\W\d_]", t or "")]
+    rows = [(i, t) for i, t in zip(given.doc_id.tolist(), given.text.tolist()) if any(unicodedata.category(c)[0] == "L" for c in t or "")]
     last = {fold(t): i for i, t in rows}
     rows = [(i, t) for i, t in rows if last[fold(t)] == i]
     stays = {i for i, _, c in brute_classes([t for _, t in rows], [i for i, _ in rows]) if i == c}

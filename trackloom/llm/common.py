@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CAUGHT: list[list[str]] = []
+
+
+@contextmanager
+def caught() -> Iterator[list[str]]:
+    """The folders that are made meanwhile."""
+    made: list[str] = []
+    _CAUGHT.append(made)
+    try:
+        yield made
+    finally:
+        _CAUGHT.remove(made)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the one that the cluster shares (spark.checkpoint.dir). Where none is set, as in tests, a temporary one
     becomes it, but only if all of Spark runs on this machine; a cluster without a shared folder is an error."""
@@ -27,7 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(root)
         else:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return f"{root}/trackloom-{uuid.uuid4().hex}"
+    folder = f"{root}/trackloom-{uuid.uuid4().hex}"
+    for made in _CAUGHT:
+        made.append(folder)
+    return folder
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -38,14 +56,16 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete a staged table that nothing still to be run reads."""
-    spark = df.sparkSession
     files = df.inputFiles()
-    if files:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        if folder.getName().startswith("trackloom-"):
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if files and files[0].rpartition("/")[0].rpartition("/")[2].startswith("trackloom-"):
+        delete(df.sparkSession, files[0].rpartition("/")[0])
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -65,6 +85,16 @@ def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str, bool]:
     return stage(docs.withColumn(name, F.monotonically_increasing_id())), name, True
 
 
+def without(docs: DataFrame, key: str, gone: DataFrame, places: int = 1 << 18) -> DataFrame:
+    """The documents whose ``key`` is not in ``gone`` (one column; no nulls). Keys are hashed to ``places``, and only documents in a place that
+    holds a key to go are shuffled; the table of places is broadcast and has no more rows than that."""
+    name, spot = fresh(docs, "gone_key"), fresh(docs, "gone_place")
+    gone = gone.select(F.col(gone.columns[0]).alias(name))
+    hit = F.broadcast(stage(gone.select(F.pmod(F.xxhash64(name), F.lit(places)).alias(spot)).distinct()))
+    place = F.pmod(F.xxhash64(docs[key]), F.lit(places))
+    return docs.join(hit, place == hit[spot], "left_anti").unionByName(docs.join(hit, place == hit[spot], "left_semi").join(gone, F.col(key) == gone[name], "left_anti"))
+
+
 def parts_of(spark: SparkSession, units: float, each: float) -> int:
     """Partitions so that each gets about ``each`` units of work, however much there is; not fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, -(-int(units) // int(each)))

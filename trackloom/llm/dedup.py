@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage
+from .common import delete, fresh, keyed, shared_dir, stage, without
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -23,6 +23,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+#: Places that digests are hashed to, to sieve hits: the most rows of a table that is broadcast.
+PLACES = 1 << 18
 #: Only these letters fold.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,10 +83,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     landed = named.select("doc_id", "digest", F.monotonically_increasing_id().alias("locator"))
     landed.write.parquet(f"{root}/arrivals")  # the locator is the row's place, fixed once it is written
     state = stage(run_state(spark.readStream.schema(landed.schema).parquet(f"{root}/arrivals"), root))
+    for done in ("updates", "query"):  # this stream has ended for good; run_state alone leaves them for the next arrivals
+        delete(spark, f"{root}/{done}")
     rows = spark.read.schema(landed.schema).parquet(f"{root}/arrivals").join(state, "digest")
     out = rows.select("doc_id", "digest", "keep_id", "group_size", (F.col("locator") == F.col("keep_locator")).alias("kept"))
-    # full bytes of all hits, compared within their digest; a large group meets as one row per task
-    hits = named.join(state.where("group_size > 1").select("digest"), "digest", "left_semi")
+    # full bytes of all hits, compared within their digest; a large group meets as one row per task. Only what lies in a place of some hit is shuffled
+    often = state.where("group_size > 1").select("digest")
+    place = F.pmod(F.xxhash64("digest"), F.lit(PLACES))
+    hits = named.join(F.broadcast(stage(often.select(place.alias("place")).distinct())), place == F.col("place"), "left_semi").join(often, "digest", "left_semi")
     clashes = stage(hits.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest"))
     if clashes.isEmpty():
         return out
@@ -96,13 +102,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without exact copies, all columns as they are; of equal texts the row with the largest id stays."""
-    found = stage(exact_dedup(docs, id_col, text_col).select("doc_id", "kept"))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone"))
-    if found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        return docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
-    # ids repeat or are missing: rows get numbers of their own, in the order of their ids
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    order = F.struct(F.coalesce(id_col, F.lit(-(2**63))), "_row")
-    stay = rows.groupBy(sha256(normalised(F.col(text_col))).alias("digest"), normalised(F.col(text_col)).alias("whole")).agg(F.max(order).alias("last")).select(F.col("last._row").alias("stay"))
-    return rows.join(stay, F.col("_row") == F.col("stay"), "left_semi").drop("_row")
+    """The documents without exact copies, all columns as they are (whatever their names); of equal texts the row with the largest id stays. Ids may repeat
+    or be null, which is below all others: rows are told apart by numbers then, and of equal texts with equal ids one stays. An empty table gives an empty result."""
+    rows, key, added = keyed(docs, id_col)
+    if not added:
+        gone = stage(exact_dedup(docs, id_col, text_col).where("NOT kept").select("doc_id"))
+        return without(docs, id_col, gone)
+    order = F.struct(F.coalesce(id_col, F.lit(-(2**63))).alias("id"), F.col(key).alias("row"))
+    stay = rows.groupBy(sha256(normalised(F.col(text_col))).alias("digest"), normalised(F.col(text_col)).alias("whole")).agg(F.max(order)["row"].alias("stay")).select(F.col("stay").alias(fresh(rows, "stay")))
+    return rows.join(stay, F.col(key) == stay[stay.columns[0]], "left_semi").drop(key)

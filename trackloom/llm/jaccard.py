@@ -10,7 +10,7 @@ Equal sets are one. Lists of documents that share the same prefix tokens are kep
 each set against pivots of its lists (linear in list length) and joins what matches into classes. What lists still hold of
 different classes becomes pairs where a list is short. Long lists never become pairs: their sets are rebased on a pivot q,
 as differences x ^ q, since (x ^ q) ^ (y ^ q) = x ^ y, and similar sets differ in at most a ninth of their sizes. Two of them that are
-not both similar to q share a token of their differences, so prefixes of the differences make new, shorter lists, until none is long.
+not both similar to q share a token of their differences, so prefixes of the differences make new, shorter lists, until none is long (the bound doubles with every round).
 Candidates are verified by the intersection of whole shingle sets.
 """
 
@@ -384,10 +384,14 @@ def difference(x: np.ndarray, q: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return e[np.lexsort((e, np.where(np.isin(e, q, assume_unique=True), 1000 - c, c)))]
 
 
-def prefixes_of_difference(size: int, n: int) -> tuple[int, int]:
-    """How many tokens of a difference of that size must be posted to meet every similar set (with the same pivot, and not both similar to that) whose
-    difference is as large or larger, and every one whose difference is as large or smaller."""
+def prefixes_of_difference(size: int, n: int, pivot: int, linked: bool) -> tuple[int, int]:
+    """How many tokens of a difference of ``size``, of a set of n to a pivot's of ``pivot``, must be posted to meet every similar set (not both similar to the pivot) whose
+    difference is as large or larger, and every one whose difference is as large or smaller. What similar sets' differences share follows from their
+    sizes, and for a set that is similar to the pivot (``linked``) from the size that the other's must have, as it is not."""
     apart = (n + 100 * n // PERCENT) * (100 - PERCENT) // (100 + PERCENT)  # similar sets differ in no more tokens
+    if linked:
+        both = max(1, ((100 + PERCENT) * size + (100 - PERCENT) * (pivot - n)) // (2 * (100 + PERCENT)) + 1)
+        return (max(0, size - both + 1),) * 2
     return min(size, apart // 2 + 1), min(size, apart + 1)
 
 
@@ -399,7 +403,7 @@ def rebased(long: DataFrame, sets: DataFrame, texts: DataFrame, classes: Broadca
     def differ(row: dict, x: np.ndarray, q: np.ndarray):
         d = difference(x, q, classes.value)
         linked = similar((len(x) + len(q) - len(d)) // 2, len(x), len(q))
-        first, every = prefixes_of_difference(len(d), len(x))
+        first, every = prefixes_of_difference(len(d), len(x), len(q), linked)
         tokens = (mix(d[:every] ^ mix(np.array([row["b"]], dtype=np.uint64))) >> np.uint64(1)).tolist()
         own = {"sid": row["sid"], "n": len(x), "root": row["b_root"] if linked else row["root"], "fame": row["fame"], "e": len(d)}
         if linked:
@@ -410,15 +414,11 @@ def rebased(long: DataFrame, sets: DataFrame, texts: DataFrame, classes: Broadca
     return brought(near, sets, texts, differ, "sid long, n long, root long, fame double, list long, first boolean, e long")
 
 
-def _lengths(entries: DataFrame) -> DataFrame:
-    sizes = entries.groupBy("list", "k").agg(F.count("*").alias("m"))
-    return entries.join(sizes, ["list", "k"])
-
-
 def candidates(entries: DataFrame, sets: DataFrame, texts: DataFrame, classes: Broadcast, short: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) that are to be verified, and links (a, b) found on the way, from entries (list, k, times, sid, n, l, root, own, fame)."""
     pairs, links, used = [], [], []
-    sized = stage(_lengths(entries).withColumns({"first": F.lit(True), "e": F.lit(0).cast("long")}))
+    sizes = entries.groupBy("list", "k").agg(F.count("*").alias("m"))
+    sized = stage(entries.join(sizes, ["list", "k"]).withColumns({"first": F.lit(True), "e": F.lit(0).cast("long")}))
     while True:
         used.append(sized)
         long = sized.where(F.col("m") > short)
@@ -428,10 +428,12 @@ def candidates(entries: DataFrame, sets: DataFrame, texts: DataFrame, classes: B
         pairs.append(stage(short_pairs(rest).where("c >= need").select("a", "b")))
         if long.isEmpty():
             break
+        short *= 2  # each round has fewer sets left
         made = stage(rebased(long, sets, texts, classes))
         links.append(stage(made.where("list = -1").select(F.col("sid").alias("a"), F.col("root").alias("b"))))
         lists = made.where("list >= 0")
-        open_ = lists.groupBy("list").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("first").alias("some")).where("m > 1 AND low <> high AND some").select("list", "m")
+        # a list's pairs are those of its members by their first parts (m) with the others
+        open_ = lists.groupBy("list").agg(F.count("*").alias("all"), F.sum(F.col("first").cast("long")).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("all > 1 AND low <> high AND m > 0").select("list", "m")
         sized = stage(
             lists.join(open_, "list")
             .select("list", F.lit(0).alias("k"), F.lit(1).cast("long").alias("times"), "sid", "n", F.lit(1).cast("long").alias("l"), "root", F.lit(True).alias("own"), "fame", "m", "first", "e")

@@ -10,7 +10,6 @@ consecutive words of each). Sequences of sample segments from several documents
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,12 +18,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, map_rows, mix
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters by their Unicode category, without numeric signs such as fractions, superscripts and Roman numerals.
+WORD = regex.compile(r"\p{L}+")
 #: Hashed features; the lexicon's come after them.
 FEATURES = 1 << 16
 #: Words of each language's lexicon.
@@ -231,7 +232,7 @@ def predict(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_c
         return {"doc_id": batch.column(0), "held_out": batch.column(2), "lang_pred": pred, "score": score}
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
-    return arrow_map(named, run, "doc_id long, held_out boolean, lang_pred string, score double", rows=4096, limit=3_000_000)
+    return arrow_map(named, run, "doc_id long, held_out boolean, lang_pred string, score double", rows=2048, limit=1_500_000)
 
 
 def keep_identified(docs: DataFrame, field: Field | None, least: float, text_col: str = "text") -> DataFrame:
@@ -242,7 +243,7 @@ def keep_identified(docs: DataFrame, field: Field | None, least: float, text_col
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
         return batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in judge(held.value, texts)]))
 
-    return map_rows(docs, run, text_col, 3_000_000)
+    return map_rows(docs, run, text_col, 1_500_000)
 
 
 def label_words(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

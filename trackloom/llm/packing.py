@@ -32,7 +32,7 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 #: The added token of byte_bpe_50k.json.
 ADDED, ADDED_ID = "<|endoftext|>", 50256
 #: Distinct words that a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class Encoder:
@@ -46,7 +46,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def miss(self, word: str) -> bytes:
-        ids = np.array(self.model._encode_single_piece(word), dtype="<u2").tobytes()
+        ids = np.array(self.model.encode_ordinary(word), dtype="<u2").tobytes()
         if len(word) <= 48:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -116,7 +116,7 @@ def curve_key(ids: list[np.ndarray], n_ids: int = 1 << 16) -> np.ndarray:
     return hilbert(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, end_id: int, added: bool = False) -> DataFrame:
+def tokenised(docs: DataFrame, id_col: str, text_col: str, end_id: int, added: bool = True) -> DataFrame:
     """doc_id, key, n, ids (little-endian 16-bit), with the end id after each document. Null texts are empty."""
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -150,11 +150,12 @@ def starts(rows: DataFrame) -> DataFrame:
     return local.join(F.broadcast(base), "part").select("row", (F.col("base") + F.col("local")).alias("start"))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 1024, end_id: int = 0, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 1024, end_id: int = 0, added: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary). ``added``: the vocabulary's
-    added token in a text is one id, as the tokenizer file has it, and not the ids of its letters.
+    added token in a text is one id, as the tokenizer file has it; else it is the ids of its letters.
 
-    Repeated rows and null ids are documents of their own; an empty table gives an empty result."""
+    Repeated rows and null ids are documents of their own; an empty table gives an empty result. Documents with equal keys follow one another
+    in the order in which their rows were read, which may differ between runs."""
     rows = stage(tokenised(docs, id_col, text_col, end_id, added).withColumn("row", F.monotonically_increasing_id()))
     placed = rows.select("doc_id", "row", "ids").join(starts(rows), "row").select("doc_id", "ids", "start")
 
