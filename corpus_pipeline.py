@@ -6,41 +6,75 @@ secrets are masked; what is left is packed into sequences.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import dedup, jaccard, langid, packing, secret_scan
-from trackloom.llm.common import stage
+from trackloom.llm.common import caught, delete, fresh, keyed, stage, without
 
 #: Least share of the letters that a document's language has; four languages alike would give each a quarter.
 LEAST_SHARE = 0.3
 
+_left: list[str] = []
+
+
+def _step(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Tables that the step before wrote on the way go when this one begins, unless ``docs`` is still to be made from them."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        for folder in _left:
+            name = folder.rpartition("/")[2]
+            if not any(name in f for f in read):
+                delete(spark, folder)
+        with caught() as made:
+            out = fn(spark, docs, sf_dir)
+        _left[:] = made
+        return out
 
+    return run
+
+
+@_step
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with letters, most of them in one learned language."""
     return langid.keep_identified(docs, langid.train(docs), least=LEAST_SHARE)
 
 
+@_step
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the largest id of equal texts."""
     return dedup.drop_copies(docs)
 
 
+@_step
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class of similar shingle sets."""
-    classes = stage(jaccard.near_duplicates(docs).select("doc_id", "component_id"))
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-
-
+    """Keep the document with the smallest id of each class of similar shingle sets; of rows that share that id, one. A null id is above all others."""
+    rows, key, added = keyed(docs, "doc_id")
+    classes = jaccard.near_duplicates(rows, key)
+    if not added:
+        return without(docs, key, stage(classes.where("doc_id <> component_id").select("doc_id")))
+    # ids repeat or are missing: classes of rows, of which the one with the least id stays
+    own = rows.select(F.col(key).alias("row"), F.col("doc_id").alias("own"))
+    stay = classes.join(own, F.col("doc_id") == F.col("row")).groupBy("component_id").agg(F.min_by("row", F.struct(F.col("own").isNull(), "own", "row")).alias("stay"))
+    stay = stay.select(F.col("stay").alias(fresh(rows, "stay")))
+    return rows.join(stay, F.col(key) == stay[stay.columns[0]], "left_semi").drop(key)
+
+
+@_step
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask secrets in texts."""
     return secret_scan.mask_secrets(docs)
 
 
+@_step
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
-    return packing.pack(docs, added=True).drop("ids")
+    return packing.pack(docs).drop("ids")
 
 
 STAGES = [("language_id", language_id), ("exact_copies", exact_copies), ("near_copies", near_copies), ("secrets", secrets), ("packed", packed)]
