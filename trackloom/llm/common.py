@@ -100,6 +100,14 @@ def parts_of(spark: SparkSession, units: float, each: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, -(-int(units) // int(each)))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of a few megabytes, as texts may be long: the session's limits are lowered, never raised."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key, None) or "0"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text", limit: int = 4_000_000) -> DataFrame:
     """Whole rows through ``fn``, which drops some or changes values; all columns stay."""
 
@@ -107,6 +115,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], colu
         for piece in slices(batches, column, 4096, limit):
             yield fn(piece)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 
@@ -138,6 +147,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in types], schema=pa.schema(types))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix, parts_of, release, slices, stage
+from .common import arrow_map, mix, parts_of, release, slices, small_batches, stage
 
 #: Words of a shingle, and similarity in hundredths.
 WIDTH, PERCENT = 5, 80
@@ -456,6 +456,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest. Other columns are not read. An empty table gives an empty result. ``short``: members of a list above which it is rebased; it
     doesn't change the result."""
     spark = docs.sparkSession
+    small_batches(spark)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     classes = spark.sparkContext.broadcast(frequency_classes(named.select("text")))  # 2**PLACES bytes
     rows = measured(named, classes)
