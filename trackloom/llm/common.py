@@ -114,6 +114,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, column, 4096, limit):
             yield fn(piece)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
@@ -146,6 +147,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
             out = fn(piece)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in types], schema=pa.schema(types))
+        pa.default_memory_pool().release_unused()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -21,6 +21,10 @@ _STATE = {
     # small stores don't reserve megabytes each, and a batch uploads what changed
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # all stores of an executor share a bounded memory, however many partitions it holds
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
 }
 
 #: Places that digests are hashed to, to sieve hits: the most rows of a table that is broadcast.
