@@ -26,8 +26,8 @@ def file_name(path: Column) -> Column:
 
 
 def drive_key(path: Column) -> Column:
-    """A drive letter with colon, else a share (``\\\\server\\share``), upper-case; else ``default``."""
-    letter, share = F.regexp_extract(path, r"^([A-Za-z]:)", 1), F.regexp_extract(path, r"^(\\\\[^\\]+\\[^\\]+)", 1)
+    """A drive letter with colon, else a share (``\\\\server\\share``, either slash before the share), upper-case; else ``default``."""
+    letter, share = F.regexp_extract(path, r"^([A-Za-z]:)", 1), F.regexp_extract(path, r"^(\\\\[^\\/]+[\\/][^\\/]+)", 1)
     return F.coalesce(F.upper(F.nullif(letter, F.lit(""))), F.upper(F.nullif(share, F.lit(""))), F.lit("default"))
 
 
@@ -69,15 +69,103 @@ def clock_ms(ms: Column) -> Column:
     return F.when(ms >= 0, shown).otherwise("--:--:--")
 
 
-def size_tier(n: Column, units: tuple[str, ...] = ("K", "M", "G", "T"), base: int = 1024) -> Column:
-    """The largest unit that the size exceeds and the whole number of hundredths of it; the bare number below the first."""
-    shown = n.cast("string")
-    for k, unit in enumerate(units, 1):
-        hundredths = F.floor(n * 100 / base**k + F.lit(0.5)).cast("long")
-        shown = F.when(n > base**k, F.concat(hundredths.cast("string"), F.lit(f"/100 {unit}"))).otherwise(shown)
+#: Units of sizes and bit rates: the base and the labels; fixed values.
+LADDERS = {"K": (1024, "K"), "KM": (1024, "K M"), "KMG": (1024, "K M G"), "KMGT": (1024, "K M G T"), "KMi": (1000, "Ki Mi"), "KMiGi": (1000, "Ki Mi Gi"), "KMiGiTi": (1000, "Ki Mi Gi Ti")}
+
+
+def in_units(n: Column, suffix: str, unit: str = "KMGT", decimals: int = 2) -> Column:
+    """A whole number in the largest unit that it exceeds, rounded half up to ``decimals`` places without zeros at the end, with the unit and ``suffix``; bare below the
+    first unit; empty for null and negative ones."""
+    base, labels = LADDERS[unit]
+    shown = F.concat(n.cast("string"), F.lit(suffix))
+    scale = 10**decimals
+    for k, label in enumerate(labels.split(), 1):
+        parts = F.expr("0").cast("long") + F.floor((n.cast("decimal(38,0)") * (2 * scale) + base**k) / (2 * base**k)).cast("long")
+        whole, rest = F.floor(parts / scale).cast("long").cast("string"), F.lpad(F.pmod(parts, F.lit(scale)).cast("string"), decimals, "0")
+        rest = F.regexp_replace(rest, "0+$", "")
+        text = F.concat(whole, F.when(F.length(rest) > 0, F.concat(F.lit("."), rest)).otherwise("")) if decimals else parts.cast("string")
+        shown = F.when(n > base**k, F.concat(text, F.lit(label + suffix))).otherwise(shown)
     return F.when(n >= 0, shown).otherwise("")
 
 
+def thousandths(x: Column) -> Column:
+    """A positive number rounded to three places, shown without zeros at the end."""
+    n = F.floor(x * 1000 + 0.5).cast("long")
+    rest = F.regexp_replace(F.lpad(F.pmod(n, F.lit(1000)).cast("string"), 3, "0"), "0+$", "")
+    return F.concat(F.floor(n / 1000).cast("long").cast("string"), F.when(F.length(rest) > 0, F.concat(F.lit("."), rest)).otherwise(""))
+
+
+def frame_rate(duration_ns: Column) -> Column:
+    """Frames per second from a frame's duration; null where there is none."""
+    return F.when(duration_ns > 0, F.concat(thousandths(F.lit(1e9) / duration_ns), F.lit("fps")))
+
+
+def sample_rate(hz: Column) -> Column:
+    return F.when(hz > 0, F.concat(thousandths(hz / 1000), F.lit("kHz")))
+
+
+#: Labels of channel layouts; fixed values.
+LAYOUTS = {
+    "mono": "mono", "stereo": "stereo", "layout21": "2.1", "layout30": "3.0", "layout31": "3.1", "layout40": "4.0", "layout41": "4.1", "layout50": "5.0", "layout51": "5.1", "layout61": "6.1", "layout71": "7.1",
+    "layout714": "7.1.4",
+}
+
+
+def channel_label(layout: Column, channels: Column) -> Column:
+    """The layout's label, else mono, stereo or the number of channels; null where neither is known."""
+    known = F.create_map(*[F.lit(x) for kv in LAYOUTS.items() for x in kv])[layout]
+    return F.coalesce(known, F.when(channels == 1, "mono").when(channels == 2, "stereo").otherwise(F.concat(channels.cast("string"), F.lit("ch"))))
+
+
+def joined(*parts: Column) -> Column:
+    """The parts that are neither null nor empty, with blanks between."""
+    return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts])
+
+
+def attachment_subtype(name: Column, mime: Column) -> Column:
+    """What follows the name's last dot, else the media type's slash, lower-case; else empty."""
+    ext, sub = F.regexp_extract(name, r"(?s)\.([^.]+)$", 1), F.regexp_extract(mime, r"(?s)^[^/]*/(.+)$", 1)
+    return F.lower(F.coalesce(F.nullif(ext, F.lit("")), F.nullif(sub, F.lit("")), F.lit("")))
+
+
+def stat_number(tags: Column, name: str) -> Column:
+    """The number in the first tag (struct of name and value) of that name, in whatever case; null where there is none or it is no number."""
+    own = F.filter(tags, lambda t: F.upper(t["name"]) == name.upper())
+    value = F.trim(F.get(own, 0)["value"])
+    return F.when(value == "", 0.0).otherwise(F.when(value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), value.cast("double")))
+
+
+def output_dir(own: Column, common: Column, path: Column) -> Column:
+    """The file's own output folder, else the common one, else where the file lies."""
+    return F.coalesce(F.nullif(own, F.lit("")), F.nullif(common, F.lit("")), parent_dir(path))
+
+
+def stem(path: Column) -> Column:
+    """A file name without its last extension; a leading dot belongs to the name."""
+    name = file_name(path)
+    return F.when(name.rlike(r"(?s)^.+\.[^.]*$"), F.regexp_extract(name, r"(?s)^(.+)\.[^.]*$", 1)).otherwise(name)
+
+
+def overridden_path(override: Column, path: Column) -> Column:
+    """An override that ends with a slash is a folder, which the input's name is put into; any other is the output itself."""
+    return F.when(override.rlike(r"[/\\]$"), F.concat(override, file_name(path))).otherwise(override)
+
+
+def progress(line: Column) -> Column:
+    """The whole number of a progress line of the merge tool; null for other lines."""
+    found = F.regexp_extract(F.trim(line), r"^Progress:(?:Progress:)*\s*\+?(\d{1,9})%*$", 1)
+    return F.nullif(found, F.lit("")).cast("int")
+
+
+def newer(latest: Column, current: Column) -> Column:
+    """Whether a dotted version is later: number by number, missing ones are 0 and parts that are no numbers don't count."""
+    parts = lambda v: F.transform(F.filter(F.split(F.regexp_replace(v, "^v+", ""), r"\."), lambda x: x.rlike(r"^\+?\d+$")), lambda x: x.cast("long"))
+    a, b = parts(latest), parts(current)
+    n = F.greatest(F.size(a), F.size(b))
+    fill = lambda x: F.concat(x, F.array_repeat(F.lit(0).cast("long"), n - F.size(x)))
+    return fill(a) > fill(b)
+
+
 def eta(elapsed: Column, percent: Column) -> Column:
     """Time left by the progress so far; null unless it is between nothing and all."""
     return F.when((percent > 0) & (percent < 100), elapsed * (100 - percent) / percent)

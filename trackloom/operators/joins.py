@@ -43,19 +43,22 @@ def reconcile(expected: DataFrame, found: DataFrame, key: str, left: str, right:
     return expected.select(key, left).join(found.select(key, right), key, "full_outer").withColumn("status", status)
 
 
-def roots(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
-    """node, root: where every node's chain of parents ends, by doubling steps: after k rounds 2**k links are followed. A chain that
-    comes back to itself ends at its least node. ``edges`` has one parent a child."""
+def roots(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """node, root: where every node's chain of parents ends, by doubling steps: after k rounds 2**k links are followed, so rounds grow with the logarithm of
+    the longest chain. Nodes that lead into a circle end at its least node. ``edges`` has one parent a child."""
     now = edges.select(F.col(child).alias("node"), F.col(parent).alias("root"))
-    tops = edges.select(F.col(parent).alias("node")).join(now.select("node"), "node", "left_anti").distinct().select("node", F.col("node").alias("root"))
-    now = now.unionByName(tops).withColumn("least", F.least("node", "root"))
-    done, step = False, 1
-    while not done and step <= most:
+    tops = settled(edges.select(F.col(parent).alias("node")).join(now.select("node"), "node", "left_anti").distinct())
+    now = now.unionByName(tops.select("node", F.col("node").alias("root"))).withColumn("least", F.least("node", "root"))
+    left, steps = None, 1
+    while True:
         now = settled(now)
+        rest = now.join(tops.select(F.col("node").alias("_top")), F.col("root") == F.col("_top"), "left_anti").count()
+        # each round brings some chain to its end; those that none brings on lead into circles, which hold no more nodes than are left
+        if not rest or rest == left and steps >= rest:
+            break
+        left, steps = rest, steps * 2
         up = now.select(F.col("node").alias("_up"), F.col("root").alias("_root"), F.col("least").alias("_least"))
-        new = now.join(up, F.col("root") == F.col("_up"), "left").select("node", F.coalesce("_root", "root").alias("root"), F.least("least", "_least").alias("least"), (F.coalesce("_root", "root") == F.col("root")).alias("_same"))
-        done = new.where("NOT _same").isEmpty()
-        now, step = new.drop("_same"), step * 2
-    # a node that isn't at rest lies on, or leads into, a circle
-    rest = now.join(tops.select(F.col("node").alias("_top")), F.col("root") == F.col("_top"), "left")
-    return rest.select("node", F.when(F.col("_top").isNotNull(), F.col("root")).otherwise(F.col("least")).alias("root"))
+        now = now.join(up, F.col("root") == F.col("_up")).select("node", F.col("_root").alias("root"), F.least("least", "_least").alias("least"))
+    ends = now.select(F.col("node").alias("_end"), F.col("least").alias("_least"))
+    ends = ends.join(tops.select(F.col("node").alias("_top")), F.col("_end") == F.col("_top"), "left").select("_end", F.coalesce("_top", "_least").alias("_root"))
+    return now.select("node", "root").join(ends, F.col("root") == F.col("_end")).select("node", F.col("_root").alias("root"))

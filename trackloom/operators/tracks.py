@@ -56,3 +56,27 @@ def running_offset(rows: DataFrame, key: str, order: list, length: str, name: st
     """Where a row begins if those before it under the key lie end to end."""
     before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn(name, F.coalesce(F.sum(length).over(before), F.lit(0)))
+
+
+def edited(rows: DataFrame, edits: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows with the values that ``edits`` (keys, and some of the columns; one row a key) has for them; a null leaves a value as it is. Edits of unknown keys do nothing."""
+    new = edits.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(c).alias(f"_new_{c}") for c in columns])
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    return rows.join(new, same, "left").withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).drop(*new.columns)
+
+
+def moved(rows: DataFrame, key: str, place: str, moves: DataFrame) -> DataFrame:
+    """Rows of a key after one of them goes from one place to another (``moves``: key, from_place, to_place; one row a key) and those between close up. Moves of places that
+    a key doesn't have do nothing. The rows that move past are found by their places alone, without sorting."""
+    size = rows.groupBy(key).agg(F.max(place).alias("_last"))
+    ok = moves.join(size, key).where("from_place <> to_place AND from_place BETWEEN 0 AND _last AND to_place BETWEEN 0 AND _last").select(F.col(key).alias("_key"), "from_place", "to_place")
+    p, a, z = F.col(place), F.col("from_place"), F.col("to_place")
+    new = F.when(p == a, z).when((p > a) & (p <= z), p - 1).when((p < a) & (p >= z), p + 1).otherwise(p)
+    return rows.join(ok, F.col(key) == F.col("_key"), "left").withColumn(place, new).drop("_key", "from_place", "to_place")
+
+
+def first_free(used: DataFrame, key: str, number: str) -> DataFrame:
+    """Per key the least number from 0 that isn't used: where the used ones, in order, first leave their ranks. Keys that aren't in ``used`` have 0 free."""
+    from_0 = used.where(F.col(number) >= 0).select(key, number).distinct()
+    ranked = from_0.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(number)) - 1)
+    return ranked.groupBy(key).agg(F.count_if(F.col(number) == F.col("_rank")).alias("free"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import text
 from trackloom.operators import groups, joins, tracks
-from trackloom.plans import commands
 
 FLAGSHIP = "kernel_group_signature_lang"
 QUERIES: dict = {}
@@ -123,13 +122,13 @@ def kernel_left_fill(spark, d):
 
 
 @_query("""
-SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey % 3 <> 0
-UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey AND c_custkey % 3 <> 0)
+SELECT o_custkey AS k, CAST(count(*) AS VARCHAR) AS name FROM orders GROUP BY 1
+UNION ALL SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
 """)
 def kernel_anti_append(spark, d):
-    """Some customers, and suppliers whose key is not among them."""
-    first = _t(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
-    return joins.append_unseen(first, _t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")), "k")
+    """Customers with orders, then those without."""
+    first = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").cast("string").alias("name"))
+    return joins.append_unseen(first, _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), "k")
 
 
 @_query("""
@@ -152,13 +151,13 @@ def kernel_theta_pair(spark, d):
 
 
 @_query("""
-WITH l AS (SELECT l_orderkey AS k, count(*) AS n_lines FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey AS k, o_orderstatus FROM orders WHERE o_orderkey % 5 <> 0)
+WITH l AS (SELECT l_orderkey AS k, count(*) AS n_lines FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), o AS (SELECT o_orderkey AS k, o_orderstatus FROM orders WHERE o_orderstatus <> 'F')
 SELECT k, o_orderstatus, coalesce(n_lines, 0) AS n_lines, CASE WHEN n_lines IS NULL THEN 'completed' WHEN o_orderstatus IS NULL THEN 'unknown' ELSE 'active' END AS status FROM o FULL JOIN l USING (k)
 """)
 def kernel_full_outer_reconcile(spark, d):
-    """Known orders against those with line items."""
-    known = _t(spark, d, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
-    found = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n_lines"))
+    """Orders that aren't finished against those with returned line items."""
+    known = _t(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
+    found = _t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n_lines"))
     return joins.reconcile(known, found, "k", "o_orderstatus", "n_lines", F.when(F.col("n_lines").isNull(), "completed").when(F.col("o_orderstatus").isNull(), "unknown").otherwise("active")).withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
 
 
@@ -169,7 +168,7 @@ r AS (SELECT node, node AS root FROM tops UNION ALL SELECT e.node, r.root FROM e
 SELECT node, root FROM r
 """)
 def kernel_recursive_root(spark, d):
-    """Where chains of merged orders end."""
+    """Where chains of merged orders end (halving keys)."""
     edges = _t(spark, d, "orders").where("o_orderkey > 1 AND o_orderstatus <> 'P'").select("o_orderkey", F.expr("o_orderkey div 2").alias("up"))
     return joins.roots(edges, "o_orderkey", "up")
 
@@ -200,12 +199,22 @@ def kernel_fifo_schedule(spark, d):
     return rows.select("user_id", "event_id", "place", F.when(F.col("place") == 0, "merging").otherwise("waiting").alias("status"))
 
 
-@_query("""
-SELECT doc_id, CASE WHEN n * n > 1048576 THEN CAST(floor(n * n * 100 / 1048576 + 0.5) AS BIGINT) || '/100 M' WHEN n * n > 1024 THEN CAST(floor(n * n * 100 / 1024 + 0.5) AS BIGINT) || '/100 K' ELSE CAST(n * n AS VARCHAR) END AS shown FROM (SELECT doc_id, n_chars AS n FROM documents)
+def _units_sql(n: str, suffix: str, base: int, labels: str) -> str:
+    """SQL of a size in two decimals: half-up hundredths of the largest unit that it exceeds, trimmed."""
+    out = f"CAST({n} AS VARCHAR) || '{suffix}'"
+    for k, label in enumerate(labels.split(), 1):
+        h = f"(CAST({n} AS HUGEINT) * 200 + {base**k}) // {2 * base**k}"
+        out = f"CASE WHEN {n} > {base**k} THEN rtrim(rtrim(CAST({h} // 100 AS VARCHAR) || '.' || lpad(CAST({h} % 100 AS VARCHAR), 2, '0'), '0'), '.') || '{label}{suffix}' ELSE {out} END"
+    return f"CASE WHEN {n} >= 0 THEN {out} ELSE '' END"
+
+
+@_query(f"""
+SELECT doc_id, {_units_sql('n', 'B', 1024, 'K M G T')} AS size, {_units_sql('n', 'bps', 1000, 'Ki Mi Gi')} AS rate FROM (SELECT doc_id, n_chars * n_chars * n_chars AS n FROM documents)
 """)
 def kernel_size_format(spark, d):
-    """Sizes in the largest unit that they exceed."""
-    return _t(spark, d, "documents").select("doc_id", text.size_tier(F.col("n_chars") * F.col("n_chars"), ("K", "M")).alias("shown"))
+    """Sizes and bit rates in the largest unit that they exceed."""
+    n = F.col("n_chars") * F.col("n_chars") * F.col("n_chars")
+    return _t(spark, d, "documents").select("doc_id", text.in_units(n, "B").alias("size"), text.in_units(n, "bps", "KMiGi").alias("rate"))
 
 
 @_query("""
@@ -225,30 +234,19 @@ def kernel_path_split(spark, d):
     return _t(spark, d, "pages").select("page_id", text.parent_dir(F.col("url")).alias("dir"), text.file_name(F.col("url")).alias("name"))
 
 
-@_query("""
-SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'C:' WHEN page_id % 3 = 1 THEN upper('\\\\\\\\srv\\\\share' || page_id % 7) ELSE 'default' END AS drive FROM pages
-""".replace("\\\\", "\\"))
+@_query(r"""
+WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'c:\' || url WHEN 1 THEN '\\srv\share' || page_id % 7 || '\' || url WHEN 2 THEN '\\srv/share' || page_id % 7 || '/x' ELSE url END AS path FROM pages)
+SELECT page_id, upper(CASE WHEN path[2] = ':' AND path[1] BETWEEN 'a' AND 'z' THEN path[:2] WHEN starts_with(path, '\\') THEN '\\srv' || path[6] || 'share' || page_id % 7 ELSE NULL END) AS drive FROM p WHERE path[2] = ':' OR starts_with(path, '\\')
+UNION ALL SELECT page_id, 'default' FROM p WHERE path[2] <> ':' AND NOT starts_with(path, '\\')
+""")
 def kernel_drive_key(spark, d):
-    """Drives of paths on a letter, a share or neither."""
+    """Drives of paths on a letter, a share (either slash before its name) or neither."""
     page = F.col("page_id")
-    path = F.when(page % 3 == 0, F.concat(F.lit("c:\\"), "url")).when(page % 3 == 1, F.concat(F.lit("\\\\srv\\share"), (page % 7).cast("string"), F.lit("\\"), "url")).otherwise(F.col("url"))
+    share = F.concat(F.lit("share"), (page % 7).cast("string"))
+    path = F.when(page % 4 == 0, F.concat(F.lit("c:\\"), "url")).when(page % 4 == 1, F.concat(F.lit("\\\\srv\\"), share, F.lit("\\"), "url")).when(page % 4 == 2, F.concat(F.lit("\\\\srv/"), share, F.lit("/x"))).otherwise(F.col("url"))
     return _t(spark, d, "pages").select("page_id", text.drive_key(path).alias("drive"))
 
 
-@_query("""
-WITH k AS (SELECT l_orderkey AS unit, CASE l_returnflag WHEN 'R' THEN 'video' WHEN 'A' THEN 'audio' ELSE 'subtitles' END AS type, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS id, l_linestatus AS lang, l_quantity > 25 AS flag FROM lineitem),
-o AS (SELECT *, CASE type WHEN 'video' THEN 0 WHEN 'audio' THEN 1 ELSE 2 END AS r FROM k)
-SELECT unit, coalesce('-d ' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (r = 0), '--no-video') || ' ' || coalesce('-a ' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (r = 1), '--no-audio') || ' ' || coalesce('-s ' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (r = 2), '--no-subtitles')
-|| ' ' || string_agg('--language ' || id || ':' || lang || ' --default-track-flag ' || id || ':' || CAST(flag AS INT), ' ' ORDER BY r, id) || ' --no-attachments --track-order ' || string_agg('0:' || id, ',' ORDER BY r, id) AS command FROM o GROUP BY unit
-""")
-def kernel_command_string(spark, d):
-    """Argument lists of orders whose line items are tracks."""
-    kind = F.when(F.col("l_returnflag") == "R", "video").when(F.col("l_returnflag") == "A", "audio").otherwise("subtitles")
-    rows = tracks.compact_ids(_t(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"])
-    rows = rows.select(F.col("l_orderkey").alias("unit"), kind.alias("type"), "id", F.col("l_linestatus").alias("language"), F.lit("").alias("track_name"), (F.col("l_quantity") > 25).alias("default_track"))
-    return commands.arguments(rows).select("unit", F.array_join("argv", " ").alias("command"))
-
-
 @_query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k FROM events")
 def kernel_json_lookup(spark, d):
     """A number of a JSON text by a fixed schema, with a default."""
@@ -270,3 +268,6 @@ SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY event_type || ':
 def kernel_bucket_users(spark, d):
     """Users with equal counts of events by type."""
     return groups.buckets(groups.language_signature(_t(spark, d, "events"), "user_id", F.col("event_type")), "signature", "user_id")
+
+
+from trackloom.plans import media  # noqa: E402,F401  adds its queries
