@@ -1,9 +1,11 @@
 """Operators on single texts against brute-force versions, library results and planted cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -273,6 +275,48 @@ def test_host_segmentation():
     assert urls.segment("zqxj", words) == ["zqxj"]
 
 
+def test_segmentation_equals_enumeration():
+    rng = random.Random(12)
+    words = {w: -rng.uniform(2, 9) for w in ("a", "ab", "abc", "b", "bc", "ca", "cab", "c")}
+    cost = lambda w: words.get(w, -10.0 - 2.5 * len(w))
+    for _ in range(200):
+        name = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 9)))
+        splits = []
+        for bits in range(1 << (len(name) - 1)):
+            cuts = [0, *[k + 1 for k in range(len(name) - 1) if bits >> k & 1], len(name)]
+            splits.append([name[x:y] for x, y in zip(cuts, cuts[1:])])
+        best = max(sum(map(cost, s)) for s in splits)
+        got = urls.segment(name, words)
+        assert "".join(got) == name and sum(map(cost, got)) == pytest.approx(best)
+
+
+def test_lexicon_fills_its_room(spark):
+    equal = spark.createDataFrame([(f"w{k}", 7) for k in range(60)] + [("top", 900)], "word string, n long")
+    got = urls.lexicon(equal, 50)
+    assert 45 <= len(got) <= 50 and "top" in got
+    assert len(urls.lexicon(equal, 100)) == 61 and urls.lexicon(equal.where("false"), 100) == {}
+
+
+def test_bayes_equals_odds_by_hand(spark):
+    rows = [(1, "http://x.net/fr/alpha"), (2, "http://x.net/fr/beta"), (3, "http://y.com/alpha"), (4, "http://y.com/gamma"), (5, "http://z.org/beta/beta"), (None, "http://z.org/beta/beta"), (5, "http://z.org/beta/beta"), (6, None)]
+    got = urls.judge(spark.createDataFrame([(i, u, "words in pages", 0) for i, u in rows], "page_id long, url string, html string, verdict int"), buckets=64).collect()
+    words = {w: math.log(1 / 3) for w in ("words", "in", "pages")}
+    count, docs_of = {"block": Counter(), "allow": Counter()}, Counter()
+    split = {u: [urls.bucket(t, 64) for t in urls.host_tokens(u.split("/")[2], words) + urls.path_tokens("/" + u.split("/", 3)[3])] for _, u in rows if u}
+    for _, u in rows[:4]:
+        said = "block" if ".net" in u else "allow"
+        docs_of[said] += 1
+        count[said].update(split[u])
+    odds = lambda t: math.log((count["block"][t] + 1) / (count["block"].total() + 64)) - math.log((count["allow"][t] + 1) / (count["allow"].total() + 64))
+    prior = math.log((docs_of["block"] + 1) / (docs_of["allow"] + 1))
+    for r in got:
+        url = dict(rows)[r.page_id]
+        want = prior + sum(map(odds, split[url])) if url else prior
+        assert r.score == pytest.approx(want, abs=1e-5)
+        assert r.verdict == ("block" if want > 0 else "allow") or r.rule
+    assert len(got) == len(rows)
+
+
 # host rules
 
 

@@ -51,17 +51,24 @@ def word_counts(texts: Column, table: DataFrame) -> DataFrame:
 
 def lexicon(counts: DataFrame, lexicon_size: int) -> dict[str, float]:
     """Log probability of the most frequent words, ``lexicon_size`` at most: all whose count lies in the highest eighths of powers of two that hold no
-    more words than that. The driver gets some hundred sums and then the words themselves."""
-    counts = stage(counts.withColumn("eighth", F.floor(F.log2("n") * 8)))
-    cut, held = None, 0
+    more words than that, and of the next eighth, whose words are about as frequent as each other, as many as there is room for, by their digests. The
+    driver gets some hundred and 1024 sums and then the words themselves."""
+    counts = stage(counts.withColumns({"eighth": F.floor(F.log2("n") * 8), "digest": F.pmod(F.xxhash64("word"), F.lit(1024))}))
+    cut, held, last = None, 0, None
     for r in sorted(counts.groupBy("eighth").count().collect(), key=lambda r: -r.eighth):
-        held += r["count"]
-        if held > lexicon_size:
+        if held + r["count"] > lexicon_size:
+            last = r.eighth
             break
-        cut = r.eighth
-    if cut is None:
-        return {}
-    top = counts.where(F.col("eighth") >= cut).select("word", "n").orderBy(F.desc("n"), "word").toPandas()
+        held, cut = held + r["count"], r.eighth
+    wanted = F.col("eighth") >= cut if cut is not None else F.lit(False)
+    if last is not None:
+        until = -1
+        for r in sorted(counts.where(F.col("eighth") == last).groupBy("digest").count().collect(), key=lambda r: r.digest):
+            if held + r["count"] > lexicon_size:
+                break
+            held, until = held + r["count"], r.digest
+        wanted = wanted | ((F.col("eighth") == last) & (F.col("digest") <= until))
+    top = counts.where(wanted).select("word", "n").orderBy(F.desc("n"), "word").toPandas()
     total = max(1, int(top["n"].sum()))
     return {w: math.log(n / total) for w, n in zip(top["word"], top["n"], strict=True)}
 
@@ -127,8 +134,8 @@ def log_odds(labelled: DataFrame, buckets: int) -> np.ndarray:
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES, lexicon_size: int = 50_000, buckets: int = 1 << 16) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (log odds of block; the rule's verdict overrides it).
 
-    Null urls, and urls without ``://``, have an empty host and path and are judged by the prior alone. An empty table
-    gives an empty result; without any labelled url every score is 0 and the verdict allow."""
+    Null urls, and urls without ``://``, have an empty host and path and are judged by the prior alone. Repeated rows and null ids are rows of their own; other columns are
+    not read. An empty table gives an empty result; without any labelled url every score is 0 and the verdict allow."""
     host, path = split_url(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     text, said = rule_of(F.col("host"), F.col("path"), rules)
