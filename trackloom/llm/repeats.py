@@ -214,51 +214,79 @@ def could_share(distinct: list[bytes], at: np.ndarray, group: np.ndarray, length
     return out
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of a text of symbols below 512, in order by ``depth`` symbols or more (then by place), by doubling from 7 symbols that fit a word."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffixes of a text of symbols below 512, in order by ``depth`` symbols or more (then by place), from 7 symbols that fit a word and then by ranks of
+    three (or, in a long text, two) neighbouring stretches in a word; and the ranks by the first 7, 21, ... symbols, for each such number."""
     n = len(text)
     padded = np.concatenate([text.astype(np.uint64), np.zeros(7, dtype=np.uint64)])
     key = np.zeros(n, dtype=np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | padded[k : k + n]
-    done = 7
+    bits = n.bit_length()
+    times = 3 if 3 * bits <= 64 else 2
+    done, ranks = 7, []
     while True:
         order = np.argsort(key)
-        fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        rank = np.empty(n, dtype=np.uint64)
+        sorted_key = key[order]
+        fresh = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+        rank = np.empty(n, dtype=np.uint32)
         rank[order] = np.cumsum(fresh)
+        ranks.append((done, rank))
         if done >= depth or fresh.all():
-            return order
-        later = np.concatenate([rank[done:], np.zeros(min(done, n), dtype=np.uint64)])[:n]
-        key = (rank << np.uint64(32)) | later
-        done *= 2
+            return order, ranks
+        key = rank.astype(np.uint64)
+        for k in range(1, times):
+            key <<= np.uint64(bits)
+            key[: max(n - k * done, 0)] |= rank[k * done :]
+        done *= times
+
+
+def common(text: np.ndarray, ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """How many symbols the suffixes at ``a`` and ``b`` (pairwise unlike) have in common, ``depth`` at most: stretches of equal rank are stepped over whole,
+    the longest first, and what is left symbol by symbol."""
+    n, match, on = len(text), np.zeros(len(a), dtype=np.int64), np.arange(len(a))
+
+    def step(on: np.ndarray, held: np.ndarray, size: int) -> np.ndarray:
+        """Advance the pairs whose next stretches are equal; these are returned."""
+        x, y = a[on] + match[on], b[on] + match[on]
+        inside = np.maximum(x, y) < n
+        on, x, y = on[inside], x[inside], y[inside]
+        on = on[held[x] == held[y]]
+        match[on] += size
+        return on
+
+    for size, rank in reversed(ranks):
+        again = on
+        while len(again):
+            again = step(again, rank, size)
+            again = again[match[again] < depth]
+    again = on
+    while len(again):
+        again = step(again, text, 1)
+        again = again[match[again] < depth]
+    return match
 
 
 def same_strings(distinct: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions in the joined contexts, of suffixes in order; group numbers): equal numbers are equal strings of ``length`` bytes. Contexts are joined
     with a separator after each."""
-    joined = np.concatenate([np.append(np.frombuffer(c, dtype=np.uint8).astype(np.int32) + 1, 0) for c in distinct])
+    size = np.array([len(c) for c in distinct], dtype=np.int64)
+    joined = np.frombuffer(b"\0".join(distinct) + b"\0", dtype=np.uint8).astype(np.int16) + 1
+    joined[np.cumsum(size + 1) - 1] = 0
     n = len(joined)
     # two distinct contexts differ before their ends, so a match runs through one separator at most
-    depth = 2 * (max(map(len, distinct)) + 1)
-    order = suffix_order(joined, depth)
+    depth = 2 * (int(size.max()) + 1)
+    order, ranks = suffix_order(joined, depth)
     before = np.where(order > 0, joined[order - 1], -1)  # the transform; nothing stands before the whole text
-    head = np.concatenate([[True], before[1:] != before[:-1]])
-    rows = np.flatnonzero(head)
+    rows = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
     # samples at the run ends: where a run begins, and the last suffix of the run above it
-    sample, above = order[rows], order[np.maximum(rows - 1, 0)]
+    sample = order[rows]
     match = np.zeros(len(rows), dtype=np.int64)
-    live = rows > 0
-    padded = np.concatenate([joined, np.full(depth, -1, dtype=joined.dtype)])
-    for k in range(depth):
-        live = live & (padded[sample + k] == padded[above + k]) & (np.maximum(sample, above) + k < n)
-        if not live.any():
-            break
-        match[live] += 1
+    match[1:] = common(joined, ranks, sample[1:], order[rows[1:] - 1], depth)
     # streamed over text positions: from each sample on, one less with every step
     by_place = np.argsort(sample)
     place, value = sample[by_place], match[by_place]
-    last = np.searchsorted(place, np.arange(n), side="right") - 1
+    last = np.repeat(np.arange(-1, len(place)), np.diff(np.concatenate([[0], place, [n]])))
     statistic = np.where(last >= 0, value[last] - (np.arange(n) - place[last]), 0)
     return order, np.cumsum(statistic[order] < length)
 
