@@ -395,11 +395,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Bytes covered by a string of ``length`` bytes that also starts earlier (in a smaller doc_id, or before in the same) are
     removed; null texts are empty. Repeated ids count in the order of their rows, nulls first. An empty table gives an empty result."""
     named, own = _numbered(docs, id_col, text_col)
+    named = named.where("doc_id IS NOT NULL")  # none is; both joins then read texts by one and the same shuffle
     parts = max(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     places = repeated_anchors(named, length, parts).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     packed = contexts(named.join(places, "doc_id").select("doc_id", "text", "places"), length, parts)
-    stretches = stage(repeats(packed, length))
-    by_doc = stretches.groupBy("doc_id").agg(F.collect_list(F.array("a", "z")).alias("stretches"))
+    by_doc = repeats(packed, length).groupBy("doc_id").agg(F.collect_list(F.array("a", "z")).alias("stretches"))
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
