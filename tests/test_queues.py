@@ -71,7 +71,7 @@ def test_numbers_at_their_limits(spark):
     got = n.select(normal.ticks_ns(F.col("a")), normal.frame_ns(F.lit(3), F.col("b")), normal.date_2001(F.col("a")), normal.budget_ms(F.col("b"))).collect()
     assert [r[0] for r in got] == [0, (2**64 - 1) // 45, -22222, None] and [r[1] for r in got] == [None, 3 * 10**9, None, None]
     assert got[0][2] == "2001-01-01T00:00:00Z" and got[2][2] == "2000-12-31T23:59:59Z" and got[3][2] is None
-    assert [r[3] for r in got[:3]] == [100, 100, 100]
+    assert [r[3] for r in got] == [100, 100, 100, None]
 
 
 def test_codes_and_siblings(spark):

@@ -43,9 +43,9 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def ticks_ns(ticks: Column) -> Column:
-    """Ticks of 45 kHz in nanoseconds; the product stops at 64 bits."""
+    """Ticks of 45 kHz in nanoseconds; the product stops at 64 bits. Null stays null."""
     product = F.least(ticks.cast("decimal(20,0)") * F.lit(1_000_000).cast("decimal(7,0)"), F.lit("18446744073709551615").cast("decimal(27,0)"))
-    return _div(product, F.lit(45).cast("decimal(2,0)")).cast("long")
+    return F.when(ticks.isNotNull(), _div(product, F.lit(45).cast("decimal(2,0)"))).cast("long")
 
 
 def frame_ns(delta: Column, timescale: Column) -> Column:
@@ -54,8 +54,8 @@ def frame_ns(delta: Column, timescale: Column) -> Column:
 
 
 def budget_ms(asked: Column) -> Column:
-    """A time budget within its limits."""
-    return F.least(F.greatest(asked, F.lit(_BUDGET_MS[0])), F.lit(_BUDGET_MS[1]))
+    """A time budget within its limits; null stays null."""
+    return F.when(asked.isNotNull(), F.least(F.greatest(asked, F.lit(_BUDGET_MS[0])), F.lit(_BUDGET_MS[1])))
 
 
 def next_flag(flag: Column) -> Column:
