@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, host_rules, jaccard, langid, packing, pieces, repeats, secret_scan, urls
+from . import chat, dedup, divergence, host_rules, jaccard, langid, manifest, packing, pieces, repeats, secret_scan, token_counts, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,67 @@ SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0)
     sha256(unhex(coalesce(left_part || substr(h, 2 * tail + 1), h))) AS kept_sha256
 FROM docs LEFT JOIN cut USING (doc_id)
 """
+
+
+@_query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, huge ones by chunks spliced where they provably agree."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources against each other and against their language, by exact term shares."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH docs AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+kept AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM docs) GROUP BY ALL HAVING count(*) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+found AS (SELECT lang, source, t, count(*) AS c FROM (SELECT lang, source, unnest(w) AS t FROM docs) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+grid AS (SELECT g.lang, g.source, k.t, coalesce(f.c, 0) AS c, sum(coalesce(f.c, 0)) OVER (PARTITION BY g.lang, g.source) AS n, sum(coalesce(f.c, 0)) OVER (PARTITION BY g.lang, k.t) AS c_all
+    FROM groups g JOIN kept k USING (lang) LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.t = k.t),
+wide AS (SELECT lang, source, t, c, v, 1 + (CAST(1000000000 AS HUGEINT) * CAST(c + 1 AS HUGEINT)) // CAST(n + v AS HUGEINT) AS p, c_all, sum(c) OVER (PARTITION BY lang) AS n_all FROM grid JOIN v USING (lang)),
+own AS (SELECT *, 1 + (CAST(1000000000 AS HUGEINT) * CAST(c_all + 1 AS HUGEINT)) // CAST(n_all + v AS HUGEINT) AS q FROM wide),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM own a JOIN own b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, t AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value FROM own WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@_query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, and what an audit of tampered rows finds."""
+    return manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
+def _field(column: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({column} AS VARCHAR))) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+# a crc32 by bits; ids are short
+_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(k AS BIGINT) FOR k IN range(8)]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))"""
+ORACLES["op13_manifest"] = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, lang, sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field("text")}) AS leaf,
+    sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("(n_chars + 1)")} || {_field("text")}) AS other, xor({_CRC}, 4294967295) % 7 = 0 AS hit, n_chars IS NOT NULL AS n_chars_known FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS place FROM docs),
+low AS (SELECT lang, 0 AS lvl, list(leaf ORDER BY place) AS nodes FROM placed GROUP BY lang
+    UNION ALL SELECT lang, lvl + 1, [sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')) FOR i IN range((len(nodes) + 1) // 2)] FROM low WHERE len(nodes) > 1),
+tops AS (SELECT lang, nodes[1] AS subroot, lvl AS depth, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS spot FROM low WHERE len(nodes) = 1),
+high AS (SELECT 0 AS lvl, (SELECT list(subroot ORDER BY spot) FROM tops) AS nodes
+    UNION ALL SELECT lvl + 1, [sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')) FOR i IN range((len(nodes) + 1) // 2)] FROM high WHERE len(nodes) > 1),
+steps AS (SELECT p.doc_id, low.lvl, CAST(p.place >> low.lvl AS BIGINT) AS node, nodes FROM placed p JOIN low ON p.lang IS NOT DISTINCT FROM low.lang WHERE len(nodes) > 1
+    UNION ALL SELECT p.doc_id, depth + high.lvl, CAST(spot >> high.lvl AS BIGINT), high.nodes FROM placed p JOIN tops t ON p.lang IS NOT DISTINCT FROM t.lang, high WHERE len(high.nodes) > 1),
+sides AS (SELECT doc_id, lvl, CASE WHEN node % 2 = 1 THEN nodes[node] ELSE '' END AS l, CASE WHEN node % 2 = 0 THEN coalesce(nodes[node + 2], '') ELSE '' END AS r FROM steps),
+paths AS (SELECT doc_id, list(l || ',' || r ORDER BY lvl) AS path, string_agg(l || r, '' ORDER BY lvl) AS proof FROM sides GROUP BY doc_id),
+folded AS (SELECT p.doc_id, leaf, subroot, (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(CASE WHEN hit AND n_chars_known THEN other ELSE leaf END, coalesce(path, [])), lambda x, y: sha256(split_part(y, ',', 1) || x || split_part(y, ',', 2))) AS folded_root
+    FROM placed p JOIN tops t ON p.lang IS NOT DISTINCT FROM t.lang LEFT JOIN paths USING (doc_id))
+SELECT *, folded_root = root AS verified FROM folded
+"""
