@@ -116,7 +116,16 @@ def test_task_documents_keep_who_is_in_enough_documents(spark):
     rows = [("en", "s", " ".join(w for w in "abcdefgh" if random.Random(f"{i}{w}").random() < 0.12)) for i in range(40)]
     table = spark.createDataFrame(rows, "lang string, source string, text string").repartition(9)
     often = Counter(w for _, _, t in rows for w in set(t.split()))
-    assert {t for v in divergence.vocabularies(table) for t in v} == {f"en {w}" for w, n in often.items() if n >= 3}
+    got = divergence.vocabulary(divergence.task_sums(table, 3), 3, 4).collect()
+    assert sorted((r.lang, r.term) for r in got) == sorted(("en", w) for w, n in often.items() if n >= 3)
+
+
+def test_vectors_equal_counters():
+    texts = ["", " a B a", "b", "é-É a\tzz", "12", "zz zz zz "]
+    names, doc, term, count = divergence.vectors(texts)
+    got = [Counter({names[int(t)].as_py(): int(c) for d, t, c in zip(doc, term, count, strict=True) if d == i}) for i in range(len(texts))]
+    assert got == [Counter(), Counter(a=2, b=1), Counter(b=1), Counter({"é": 1, "É": 1, "a": 1, "zz": 1}), Counter(), Counter(zz=3)]
+    assert [len(x) for x in divergence.vectors([])] == [0, 0, 0, 0]
 
 
 def test_audit_of_an_empty_table(spark):

@@ -1,22 +1,23 @@
 """Audit of how the sources of a language differ in their words, by exact sparse counts.
 
 A count vectoriser per language keeps the terms of at least ``min_df`` documents, all of them (its vocabulary size is the largest integer). One fit serves all
-languages, as each term carries its language, so every language has a vocabulary of its own in one numbering. It isn't fitted to the documents themselves but to
+languages, as each term carries its language, so every language has a vocabulary of its own. It isn't fitted to the documents themselves but to
 what they come to by task: of a task's documents, the terms in one or more, in two or more, ... make ``min_df`` documents, and a
-term is in ``min_df`` of these, over all tasks, just when it is in as many documents.
+term is in ``min_df`` of these, over all tasks, just when it is in as many documents. A vocabulary is held by the driver, so terms are
+counted before and dealt by digest to as many vectorisers as keep each vocabulary within a bound.
 
-Documents become sparse vectors over that vocabulary, vectors are summed by language and source, first within tasks, and pairs of sources are
-evaluated on what is not zero: terms that both have are met by a join, terms that one has count by how often each share occurs, and
-the terms that neither has are one product.
+Documents become sparse vectors, a slice of them at a time, and vectors are summed by language and source, first within tasks, then by term, where the sums meet the
+vocabularies as a table. Pairs of sources are evaluated on what is not zero: terms that both have are met by a join, terms that one has count by how often
+each share occurs, and the terms that neither has are one product.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,161 +26,121 @@ from .common import slices, small_batches, stage
 
 #: Documents that a kept term is in, at least; the largest integer; shares are in parts of this many; ranks of terms that are told.
 MIN_DF, ALL, UNIT, RANKS = 3, 2**31 - 1, 1_000_000_000, 200
-#: Terms that a vocabulary holds at most: it is held by the driver and sent to all tasks. Beyond it, terms are split by digest into several vocabularies.
-MOST_TERMS = 1 << 21
-#: Distinct terms, or sums, that a task holds before it hands them on.
-HELD = 1 << 19
-#: Bytes that no term has are blanks, and only A-Z fold.
+#: Terms that a vocabulary holds at most.
+MOST_TERMS = 1 << 18
+#: Bytes of texts that become vectors at once; a longer text stands alone.
+HELD = 32_000_000
+#: Terms of a row that is handed on.
+ROW = 20_000
+#: Bytes that no term has are blanks, and only A-Z fold. Only ASCII characters end a term, so bytes of UTF-8 can stand for characters.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def terms(text: str | None) -> list[bytes]:
-    """Terms of a text: runs of letters A-Z, a-z and of characters beyond ASCII, in UTF-8, with A-Z lowered. Only bytes of ASCII characters end a run, so bytes can stand for characters."""
-    return [t for t in (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split(b" ") if t]
+def vectors(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse vectors of texts: terms, and (text, term, count) as three arrays of numbers, in order of texts."""
+    raw = [t.encode("utf-8", "surrogatepass").translate(_FOLD) + b" " for t in texts]
+    begin = np.cumsum([0] + [len(x) for x in raw])[:-1]
+    flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    blank = flat == 32
+    after = np.concatenate([[True], blank[:-1]])
+    first = np.flatnonzero(~blank & after)
+    data = flat[~(blank & after)]  # each term and one blank
+    offsets = np.concatenate([[0], np.flatnonzero(data == 32) + 1]).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    key = (np.searchsorted(begin, first, "right") - 1).astype(np.int64) << 32 | np.asarray(coded.indices).astype(np.int64)
+    key.sort()
+    cut = np.flatnonzero(np.diff(key, prepend=-1))
+    return pc.utf8_rtrim(coded.dictionary.cast(pa.large_string()), " ").cast(pa.string()), key[cut] >> 32, key[cut] & 0xFFFFFFFF, np.diff(cut, append=len(key))
+
+
+def _summed(group: np.ndarray, term: np.ndarray, count: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, term, sum) of what is given by group and term; without counts, how many there are."""
+    key = group.astype(np.int64) << 32 | term
+    order = np.argsort(key) if count is not None else None
+    key = np.sort(key) if order is None else key[order]
+    cut = np.flatnonzero(np.diff(key, prepend=-1))
+    if not len(cut):
+        return key, key, key
+    return key[cut] >> 32, key[cut] & 0xFFFFFFFF, np.diff(cut, append=len(key)) if order is None else np.add.reduceat(count[order], cut)
 
 
 def _named(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
 
 
-def _tag(lang: str) -> str:
-    """What stands before a language's terms; a term has no blank, so the last blank parts them."""
-    return f"{lang} "
-
-
-def task_documents(named: DataFrame, min_df: int) -> DataFrame:
-    """terms: documents that stand for those of a task, each term with its language before it; long ones are cut, which leaves each term in as many."""
+def task_sums(named: DataFrame, min_df: int) -> DataFrame:
+    """Of each slice of a task's documents: terms and counts, the sums of the vectors by lang and source; and, without source and counts, terms of the documents that stand
+    for the slice's documents of a language. Rows are cut, which leaves each term in as many documents."""
+    lists = (pa.list_(pa.string()), pa.list_(pa.int64()))
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", lists[0]), ("counts", lists[1])])
+
+    def work(rows: list[tuple[str, str, str]]) -> Iterator[pa.RecordBatch]:
+        names, doc, term, count = vectors([t for _, _, t in rows])
+        groups = {g: k for k, g in enumerate(dict.fromkeys((lang, source) for lang, source, _ in rows))}
+        langs = {g: k for k, g in enumerate(dict.fromkeys(lang for lang, _, _ in rows))}
+        by_group = _summed(np.array([groups[lang, source] for lang, source, _ in rows])[doc], term, count)
+        by_lang = _summed(np.array([langs[lang] for lang, _, _ in rows])[doc], term, None)
+        for (lang, source), k in groups.items():
+            a, z = np.searchsorted(by_group[0], [k, k + 1])
+            for i in range(a, z, ROW):
+                yield row(lang, source, names.take(pa.array(by_group[1][i : min(i + ROW, z)])), by_group[2][i : min(i + ROW, z)])
+        for lang, k in langs.items():
+            a, z = np.searchsorted(by_lang[0], [k, k + 1])
+            for least in range(1, min_df + 1):
+                level = by_lang[1][a:z][by_lang[2][a:z] >= least]
+                for i in range(0, len(level), ROW):
+                    yield row(lang, None, names.take(pa.array(level[i : i + ROW])), None)
+
+    def row(lang: str, source: str | None, names: pa.Array, counts: np.ndarray | None) -> pa.RecordBatch:
+        ends = pa.array([0, len(names)], pa.int32())
+        held = pa.nulls(1, lists[1]) if counts is None else pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([source], pa.string()), pa.ListArray.from_arrays(ends, names), held], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = {}
-
-        def hand_on() -> Iterator[pa.RecordBatch]:
-            for lang, times in found.items():
-                for least in range(1, min_df + 1):
-                    level = [_tag(lang) + t.decode("utf-8", "surrogatepass") for t, n in times.items() if n >= least]
-                    for i in range(0, len(level), 20_000):
-                        yield pa.RecordBatch.from_arrays([pa.array([level[i : i + 20_000]], pa.list_(pa.string()))], ["terms"])
-            found.clear()
-
-        held = 0
+        rows, size = [], 0
         for piece in slices(batches, "text", 4096):
-            for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                times = found.setdefault(lang, Counter())
-                before = len(times)
-                times.update(set(terms(text)))
-                held += len(times) - before
-                if held >= HELD:
-                    yield from hand_on()
-                    held = 0
-        yield from hand_on()
+            for x in zip(*(piece.column(k).to_pylist() for k in range(3)), strict=True):
+                if rows and size + len(x[2]) > HELD:
+                    yield from work(rows)
+                    rows, size = [], 0
+                rows.append(x)
+                size += len(x[2])
+        if rows:
+            yield from work(rows)
         pa.default_memory_pool().release_unused()
 
     small_batches(named.sparkSession)
-    return named.select("lang", "text").mapInArrow(run, "terms array<string>")
+    return named.mapInArrow(run, "lang string, source string, terms array<string>, counts array<long>")
 
 
-def vocabularies(named: DataFrame, min_df: int = MIN_DF, most: int = MOST_TERMS) -> list[list[str]]:
-    """The kept terms of all languages, each with its language before it, in lists of ``most`` at most: counted before a vectoriser is fitted, and more than one
-    only where there are more. A list is fitted by a vectoriser over the terms whose digest falls to it."""
-    summed = stage(task_documents(named, min_df))
-    kept = stage(summed.select(F.explode("terms").alias("t")).groupBy("t").count().where(F.col("count") >= min_df).select(F.xxhash64("t").alias("h")))
+def vocabulary(sums: DataFrame, min_df: int = MIN_DF, most: int = MOST_TERMS) -> DataFrame:
+    """lang, term: the kept terms, from the documents that stand for tasks. They are counted first; where they are more than ``most``, each of several vectorisers is fitted to
+    the terms whose digest falls to it, so that no vocabulary is larger."""
+    spark = sums.sparkSession
+    # a term has no blank, so the last one parts it from its language
+    standing = sums.where("source IS NULL").select(F.transform("terms", lambda t: F.concat(F.col("lang"), F.lit(" "), t)).alias("terms"))
+    kept = stage(standing.select(F.explode("terms").alias("t")).groupBy("t").count().where(F.col("count") >= min_df).select(F.xxhash64("t").alias("h")))
     n = kept.count()
     parts = max(1, -(-n // most))
-    while n and (kept.groupBy(F.pmod("h", F.lit(parts))).count().agg(F.max("count")).first()[0]) > most:
-        parts *= 2
-    out = []
-    for k in range(parts if n else 0):
-        mine = summed if parts == 1 else summed.select(F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(parts)) == k).alias("terms"))
-        if parts > 1 and kept.where(F.pmod("h", F.lit(parts)) == k).isEmpty():
-            continue
-        out.append(CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL).fit(mine).vocabulary)
-    return out
-
-
-class Vectoriser:
-    """Sparse vectors of documents over a vocabulary: a place is that of the language's term."""
-
-    def __init__(self, vocabulary: list[str]):
-        self.place: dict[str, dict[bytes, int]] = {}
-        for i, tagged in enumerate(vocabulary):
-            lang, _, term = tagged.rpartition(" ")
-            self.place.setdefault(lang, {})[term.encode("utf-8", "surrogatepass")] = i
-
-    def vector(self, lang: str, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places (not in order) and counts."""
-        at, times = self.place.get(lang), Counter(terms(text))
-        if not at or not times:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        place = np.fromiter(map(at.get, times, [-1] * len(times)), dtype=np.int64, count=len(times))
-        count = np.fromiter(times.values(), dtype=np.int64, count=len(times))
-        known = place >= 0
-        return place[known], count[known]
-
-
-def group_sums(named: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """lang, source, place, count: the sums of the documents' vectors."""
-    sent = named.sparkSession.sparkContext.broadcast(vocabulary)  # no more terms than vocabularies() allows
-    kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectoriser(sent.value)
-        groups: dict[tuple[str, str], int] = {}
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-
-        def together() -> tuple[np.ndarray, np.ndarray]:
-            key, count = np.concatenate(keys), np.concatenate(counts)
-            order = np.argsort(key)
-            key, count = key[order], count[order]
-            cut = np.flatnonzero(np.diff(key, prepend=-1))
-            return key[cut], np.add.reduceat(count, cut) if len(cut) else count
-
-        def hand_on(key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-            names, of = list(groups), key >> 32
-            for a in [x for b in np.flatnonzero(np.diff(of, prepend=-1)).tolist() for x in range(b, int(np.searchsorted(of, of[b], "right")), 50_000)]:
-                z = min(a + 50_000, int(np.searchsorted(of, of[a], "right")))
-                lang, source = names[of[a]]
-                arrays = [pa.array([lang]), pa.array([source]), pa.array([(key[a:z] & 0xFFFFFFFF).astype(np.int32)], kind.field(2).type), pa.array([count[a:z]], kind.field(3).type)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=kind)
-
-        held = 0
-        for piece in slices(batches, "text", 4096):
-            for lang, source, text in zip(*(piece.column(k).to_pylist() for k in range(3)), strict=True):
-                place, count = vectors.vector(lang, text)
-                if len(place):
-                    keys.append((np.int64(groups.setdefault((lang, source), len(groups))) << 32) | place)
-                    counts.append(count)
-                    held += len(place)
-            if held >= 4 * HELD:
-                key, count = together()
-                keys, counts, held = [key], [count], len(key)
-                if held >= 2 * HELD:
-                    yield from hand_on(key, count)
-                    keys, counts, held = [], [], 0
-                    groups.clear()
-        if held:
-            yield from hand_on(*together())
-        del vectors
-        pa.default_memory_pool().release_unused()
-
-    small_batches(named.sparkSession)
-    sums = named.select("lang", "source", "text").mapInArrow(run, "lang string, source string, places array<int>, counts array<long>")
-    each = sums.select("lang", "source", F.explode(F.arrays_zip("places", "counts")).alias("x"))
-    return each.groupBy("lang", "source", F.col("x.places").alias("place")).agg(F.sum("x.counts").alias("count"))
+    while n and (sizes := {r.k: r.n for r in kept.groupBy(F.pmod("h", F.lit(parts)).alias("k")).agg(F.count("*").alias("n")).collect()}) and max(sizes.values()) > most:
+        parts += max(1, parts // 4)
+    found = None
+    for k in sorted(sizes) if n else ():
+        mine = standing if parts == 1 else standing.select(F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(parts)) == k).alias("terms"))
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL).fit(mine)
+        pairs = [t.rpartition(" ")[::2] for t in model.vocabulary]
+        part = stage(spark.createDataFrame(pa.table({"lang": pa.array([a for a, _ in pairs]), "term": pa.array([b for _, b in pairs])})))
+        found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], "lang string, term string") if found is None else found
 
 
 def cells(named: DataFrame, min_df: int = MIN_DF, most: int = MOST_TERMS) -> tuple[DataFrame, DataFrame]:
-    """lang, source, term, count of what is not zero, and lang, v: the number of kept terms."""
-    spark = named.sparkSession
-    found, sizes = None, Counter()
-    for vocabulary in vocabularies(named, min_df, most):
-        sizes.update(t.rpartition(" ")[0] for t in vocabulary)
-        names = spark.createDataFrame(pa.table({"place": pa.array(range(len(vocabulary)), pa.int32()), "term": pa.array([t.rpartition(" ")[2] for t in vocabulary])}))
-        part = stage(group_sums(named, vocabulary).join(names, "place").select("lang", "source", "term", "count"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "lang string, source string, term string, count long")
-    return found, spark.createDataFrame(list(sizes.items()), "lang string, v long")  # languages that have a kept term
+    """lang, source, term, count of what is not zero, and lang, v: the number of kept terms where there are some."""
+    sums = stage(task_sums(named, min_df))
+    kept = vocabulary(sums, min_df, most)
+    each = sums.where("source IS NOT NULL").select("lang", "source", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("lang", "source", F.col("x.terms").alias("term"), F.col("x.counts").alias("count"))
+    found = each.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
+    return stage(found.join(kept, ["lang", "term"]).select("lang", "source", "term", "count")), kept.groupBy("lang").agg(F.count("*").alias("v"))
 
 
 def share(count: Column, total: Column, v: Column) -> Column:
