@@ -239,6 +239,29 @@ def test_a_common_passage_is_dealt_to_all_parts_and_cut_right(spark):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
 
 
+def test_repeats_beside_short_texts_in_any_partition(spark):
+    rnd = random.Random(6)
+    long = "".join(rnd.choice("abcdefgh") for _ in range(2000))
+    rows = spark.createDataFrame([(0, long), (1, None), (2, "short")], "doc_id long, text string").coalesce(1).union(spark.createDataFrame([(3, long)], "doc_id long, text string").coalesce(1))
+    assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(rows).collect()} == {0: 0, 1: 0, 2: 0, 3: 2000}
+    assert all(x.dtype == y.dtype for x, y in zip(repeats.anchors(b""), repeats.anchors(long.encode()), strict=True))
+    pool = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(60, 400))) for _ in range(25)]
+    texts = [rnd.choice([None, "", "tiny"]) if rnd.random() < 0.3 else "".join(rnd.choices(pool, k=rnd.randint(1, 4))) for _ in range(80)]
+    want = brute_repeats(texts)
+    for parts in (1, 2, 7):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs(spark, texts).repartition(parts)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_repeats_across_the_seams_of_a_very_long_text(spark):
+    rnd = random.Random(8)
+    text = rnd.randbytes(900_000).hex()  # over a megabyte
+    passage = text[repeats.CHUNK - 700 : repeats.CHUNK + 900]
+    other = "x" * 99 + passage + "y" * 50 + text[100:350]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs(spark, [text, other, None])).collect()}
+    assert got == {0: (0, 0), 1: (len(passage) + 250, 2), 2: (0, 0)}
+
+
 def test_repeats_with_repeated_and_missing_ids(spark):
     rng = random.Random(3)
     text = "".join(rng.choice("abc") for _ in range(150))
@@ -307,3 +330,11 @@ def test_pipeline_against_its_stages_by_hand(spark):
     whole = got.groupby("doc_id").doc_tokens.max()
     assert all(whole[i] == len(e.encode(t)) + 1 for i, t in clean) and clean
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_copies", "near_copies", "secrets", "packed"]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
+def test_a_second_run_leaves_the_first_result_readable(spark):
+    first = corpus_pipeline.run(spark, str(DATA))
+    second = corpus_pipeline.run(spark, str(DATA))
+    digests = lambda df: sorted(map(tuple, df.select("doc_id", "start", "length", "ids_crc32").groupBy("doc_id").agg(F.max("start"), F.sum("length")).collect()))
+    assert digests(first) == digests(second) != []

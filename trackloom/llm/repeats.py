@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix, stage
+from .common import arrow_map, mix, parts_of, stage
 from .packing import starts
 
 #: Bytes of a gram, and of a repeat.
@@ -29,6 +29,8 @@ GRAM, LENGTH = 24, 100
 CHUNK = 1 << 20
 #: Bytes of contexts in an index, but for an anchor's own that are more.
 INDEXED = 1 << 20
+#: Bytes of texts for each part that anchors and contexts are dealt to.
+PART = 1 << 25
 #: Occurrences of an anchor above which its strings meet one by one (it is hot), not by the anchor.
 HOT = 1 << 13
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, size=256, dtype=np.uint64)
@@ -55,7 +57,7 @@ def _window_least(x: np.ndarray, w: int) -> np.ndarray:
 def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """position, hash, first and last string start of every anchor of a text, in order. A stretch of strings that is cut between chunks is two, with the
     same anchor. Linear in the text."""
-    found = [[], [], [], []]
+    found = [[np.empty(0, dtype=t)] for t in (np.int64, np.uint64, np.int64, np.int64)]  # a short text has none, of the same kinds
     up, down = _powers()
     w = length - GRAM + 1
     b = np.frombuffer(raw, dtype=np.uint8)
@@ -70,8 +72,7 @@ def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, n
         place = least[cut]
         for out, x in zip(found, (place + at, h[place], cut + at, np.append(cut[1:], len(least)) - 1 + at), strict=True):
             out.append(x)
-    empty = np.empty(0, dtype=np.int64)
-    return tuple(np.concatenate(x) if x else empty for x in found)
+    return tuple(np.concatenate(x) for x in found)
 
 
 def _raw(text: str | None) -> bytes:
@@ -103,7 +104,7 @@ def repeated_anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
             place, h, _, _ = anchors(_raw(text), length)
             ids.append(np.full(len(place), doc, dtype=np.int64))
             found.append((place, h))
-        doc, place, h = np.concatenate(ids), np.concatenate([p for p, _ in found]), np.concatenate([h for _, h in found]).astype(np.uint64)
+        doc, place, h = np.concatenate(ids), np.concatenate([p for p, _ in found]), np.concatenate([h for _, h in found])
         if not len(h):
             return None
         part = (h % np.uint64(parts)).astype(np.int64)
@@ -153,7 +154,7 @@ def contexts(texts: DataFrame, length: int, parts: int) -> DataFrame:
             for i in np.flatnonzero(np.isin(-1 - place, places)).tolist():
                 hot.setdefault((int(place[i] - first[i]), raw[first[i] : last[i] + length]), []).append((doc, int(first[i])))
             hit = np.isin(place, places)
-            part = (h[hit].astype(np.uint64) % np.uint64(parts)).tolist()
+            part = (h[hit] % np.uint64(parts)).tolist()
             for k, a, z, at in zip(part, first[hit].tolist(), (last[hit] + length).tolist(), place[hit].tolist(), strict=True):
                 held.setdefault((k, at - a, raw[a:z]), []).append((doc, a))
         for (at, context), where in hot.items():
@@ -396,7 +397,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removed; null texts are empty. Repeated ids count in the order of their rows, nulls first. An empty table gives an empty result."""
     named, own = _numbered(docs, id_col, text_col)
     named = named.where("doc_id IS NOT NULL")  # none is; both joins then read texts by one and the same shuffle
-    parts = max(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    size = named.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = parts_of(named.sparkSession, size, PART)
     places = repeated_anchors(named, length, parts).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     packed = contexts(named.join(places, "doc_id").select("doc_id", "text", "places"), length, parts)
     by_doc = repeats(packed, length).groupBy("doc_id").agg(F.collect_list(F.array("a", "z")).alias("stretches"))
