@@ -13,27 +13,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import dedup, jaccard, langid, packing, secret_scan
-from trackloom.llm.common import caught, delete, fresh, keyed, stage, without
+from trackloom.llm.common import caught, delete, fresh, keyed, release, stage, without
 
 #: Least share of the letters that a document's language has; four languages alike would give each a quarter.
 LEAST_SHARE = 0.3
 
-_left: list[str] = []
+#: Folders that steps called outside of ``run`` left, by step.
+_direct: dict[str, list[str]] = {}
 
 
-def _step(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """Tables that the step before wrote on the way go when this one begins, unless ``docs`` is still to be made from them."""
+def _step(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[..., DataFrame]:
+    """A step that keeps account of the tables it writes on the way in ``left`` (by step). Those of the step before it in ``STAGES`` go when it begins, unless ``docs`` still reads
+    them: a step's result is to be written before the next step is called. Nothing else is deleted, so results of other runs, and of the last step, stay readable."""
 
     @wraps(fn)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles()
-        for folder in _left:
-            name = folder.rpartition("/")[2]
-            if not any(name in f for f in read):
-                delete(spark, folder)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str, left: dict[str, list[str]] | None = None) -> DataFrame:
+        left = _direct if left is None else left
+        names = [name for name, _ in STAGES]
+        before = dict(zip(names[1:], names, strict=False)).get(fn.__name__)
+        if folders := left.pop(before, None):
+            read = docs.inputFiles()
+            for folder in folders:
+                name = folder.rpartition("/")[2]
+                if not any(name in f for f in read):
+                    delete(spark, folder)
         with caught() as made:
             out = fn(spark, docs, sf_dir)
-        _left[:] = made
+        left[fn.__name__] = made
         return out
 
     return run
@@ -84,7 +90,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces that the stages make of the table ``documents``. A run accounts for its own folders: what its result reads stays, also when the pipeline runs again."""
+    docs, left = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
     for _, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        kept = stage(step(spark, docs, sf_dir, left))
+        release(docs)  # only a table that a stage before this one was written to
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir, left)
