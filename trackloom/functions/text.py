@@ -47,9 +47,20 @@ def equivalent_codes(*codes: Column) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit("und"))).otherwise(found)
 
 
+def trimmed(text: Column) -> Column:
+    """Text without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$", "")
+
+
+def distinct_folded(items: Column) -> Column:
+    """Items of which those that differ in case only are one, in the first one's spelling and place."""
+    folded = F.transform(items, F.lower)
+    return F.filter(items, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
+
+
 def language_list(listed: Column) -> Column:
     """Codes of a comma-separated list, trimmed, lower-case, without empties; null (all match) where none is left."""
-    found = F.filter(F.transform(F.split(listed, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    found = F.filter(F.transform(F.split(listed, ","), lambda x: F.lower(trimmed(x))), lambda x: x != "")
     return F.when(F.size(found) > 0, found)
 
 
@@ -88,6 +99,26 @@ def in_units(n: Column, suffix: str, unit: str = "KMGT", decimals: int = 2) -> C
     return F.when(n >= 0, shown).otherwise("")
 
 
+def double_in_units(n: Column, suffix: str, unit: str = "KMGT", decimals: int = 2) -> Column:
+    """The same of a double: the quotient is a double, whose exact binary value is rounded half up; below the first unit, and for one that is finite, it is shown as it is, whole numbers
+    without a point. Empty for null, negative and infinite ones. The tier is chosen first and the number scaled once."""
+    base, labels = LADDERS[unit]
+    tiers = labels.split()
+    label, divisor = F.lit(""), F.lit(1.0)
+    for k, said in enumerate(tiers, 1):
+        label, divisor = F.when(n > float(base**k), said).otherwise(label), F.when(n > float(base**k), float(base**k)).otherwise(divisor)
+    q = n / divisor
+    # above the first unit a quotient is over 1, so what follows its point is a whole number of 2**-52
+    scale, bits = 10**decimals, ((q - F.floor(q)) * F.lit(float(2**52))).cast("decimal(20,0)")
+    parts = F.call_function("div", bits * (2 * scale) + 2**52, F.lit(2**53).cast("decimal(20,0)"))
+    whole = F.floor(q).cast("decimal(38,0)") + F.when(parts == scale, 1).otherwise(0)
+    rest = F.regexp_replace(F.lpad(F.pmod(parts, F.lit(scale)).cast("string"), decimals, "0"), "0+$", "") if decimals else F.lit("")
+    scaled = F.concat(whole.cast("string"), F.when(F.length(rest) > 0, F.concat(F.lit("."), rest)).otherwise(""))
+    bare = F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))
+    shown = F.concat(F.when(label == "", bare).otherwise(scaled), label, F.lit(suffix))
+    return F.when((n >= 0) & (n < float("inf")), shown).otherwise("")
+
+
 def thousandths(x: Column) -> Column:
     """A positive number rounded to three places, shown without zeros at the end."""
     n = F.floor(x * 1000 + 0.5).cast("long")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.ranks import numbered
+
 
 def histogram(rows: DataFrame, key: str, kind: str, kinds: list[str]) -> DataFrame:
     """Per key how many rows are of each listed kind; others don't count."""
@@ -54,6 +56,5 @@ def entries(units: DataFrame, keyed: DataFrame) -> DataFrame:
     keys = held.groupBy("key").agg(F.min("position").alias("at"), F.count("*").alias("n")).select("key", "at", F.lit(0).alias("late"), F.when(F.col("n") >= 2, "group").otherwise("single").alias("kind"))
     rest = units.where("NOT loaded").select("unit", F.col("position").alias("at"), F.lit(1).alias("late"), F.lit("single").alias("kind"))
     shown = held.select("unit", "key").join(keys, "key").select("unit", "key", "at", "late", "kind").unionByName(rest.select("unit", F.lit(None).cast("string").alias("key"), "at", "late", "kind"))
-    place = shown.select("late", "at").distinct()
-    place = place.withColumn("place", F.row_number().over(Window.orderBy("late", "at")).cast("long") - 1)  # one row for each entry of the list that is shown
+    place = numbered(shown.select("late", "at").distinct(), [], ["late", "at"])
     return shown.join(place, ["late", "at"]).select("unit", "place", "kind", "key")

@@ -98,3 +98,15 @@ def preferred_first(preferred: Column, rest: Column) -> Column:
 def first_match(items: Column, test: Callable[[Column], Column]) -> Column:
     """The first element that passes, else the first one, else null."""
     return F.coalesce(F.get(F.filter(items, test), 0), F.get(items, 0))
+
+
+def apart(rows: DataFrame, unit: str, order: str, checks: dict[str, Column], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All units with what ``make`` (rows of good units -> one row a unit, with column ``unit``) gives, and ``error``: a unit with a row that fails a check gives that check's text, of its first failing row
+    by ``order`` the first check, and nothing else; it stops no other. A check that is null fails. A good unit that ``make`` leaves out has neither."""
+    failing = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(said)) for said, ok in checks.items()]
+    bad = rows.select(F.col(unit).alias("_unit"), F.col(order).alias("_order"), F.coalesce(*failing).alias("_error")).where("_error IS NOT NULL")
+    errors = bad.groupBy("_unit").agg(F.min_by("_error", "_order").alias("error"))
+    made = make(rows.join(errors.select("_unit"), F.col(unit) == F.col("_unit"), "left_anti"))
+    names = [c for c in made.columns if c != unit]
+    all_ = rows.select(unit).distinct().join(made, unit, "left").join(errors, F.col(unit) == F.col("_unit"), "left")
+    return all_.select(unit, *names, "error")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -33,12 +33,19 @@ def advance(queue: list[str], stopping: bool, kind: str, file: str, code: int |
 
 
 def snapshot(changes: DataFrame) -> DataFrame:
-    """drive, file, status: the files that are queued or at work after all changes that were told; those whose work ended are gone. (A waiting file that was
-    cancelled silently is known to the state alone.)"""
+    """drive, file, status: the files that are queued or at work after all changes that were told; those whose work ended are gone. A waiting file that was
+    cancelled silently is known to the state alone: see ``live``."""
     last = changes.groupBy("drive", "file").agg(F.max_by("status", "seq").alias("status"))
     return last.where(F.col("status").isin("waiting", "merging"))
 
 
+def live(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """drive, file, status of all files that wait or are at work, as the state of a ``track`` query holds them (``checkpoint``: its checkpoint folder): a drive's first file is
+    at work. Files that were cancelled while they waited, of which no change tells, are not in it."""
+    held = spark.read.format("statestore").load(checkpoint)
+    return held.select(F.col("key.drive").alias("drive"), F.posexplode("value.groupState.queue").alias("at", "file")).select("drive", "file", F.when(F.col("at") == 0, "merging").otherwise("waiting").alias("status"))
+
+
 def track(events: DataFrame) -> DataFrame:
     """Status changes of a stream of queue events (EVENTS), in order within each drive and batch. A drive's state is its queue."""
 
