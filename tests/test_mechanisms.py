@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.functions import text
-from trackloom.operators import folds, groups, lookups, queues, ranks
+from trackloom.functions import shown, text
+from trackloom.operators import folds, groups, lookups, queues, ranks, tracks
+from trackloom.plans import commands
 from trackloom.sources import scratch, signatures
 from trackloom.streaming import lines, queue, table
 
@@ -303,3 +304,55 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         scratch.settled(type("D", (), {"sparkSession": Cluster}))
+
+
+# what is shown, gates and flags
+
+
+def test_descriptions_types_and_errors(spark):
+    one = spark.range(1)
+    null = F.lit(None).cast("string")
+    get = lambda c: one.select(c).first()[0]
+    assert get(shown.subtitle_description(F.lit(True), F.lit("SDH"), F.lit(""), F.lit(888))) == "Text SDH p888"
+    assert get(shown.subtitle_description(F.lit(None).cast("boolean"), null, F.lit("UTF-8"), F.lit(None).cast("int"))) == "Image UTF-8"
+    assert get(shown.described((null, F.lit("v")), (F.lit(1), null), (F.lit(1), F.lit("s")))) == ""
+    assert get(shown.described((null, F.lit("v")))) == "" and get(shown.codec_shown(null, F.lit("A_AAC"))) == "A_AAC"
+    assert [get(shown.value_by_type(F.lit(1536.0), F.lit(k), "B", {"video": ("K", 0), "attachment": ("K", 0)})) for k in ("video", "attachment", "audio")] == ["2KB", "1.5KB", "1.5KB"]
+    assert [get(shown.font_type(F.lit(x))) for x in ("application/x-font-ttf", "text/plain")] == ["font/ttf", "text/plain"]
+    heads = {b"OTTO..": "font/otf", b"\x00\x01\x00\x00": "font/sfnt", b"\x89PNG\r\n\x1a\n..": "image/png", b"\xff\xd8\xff": "image/jpeg", b"GIF89a": "image/gif", b"BM": "image/bmp", b"B": "application/octet-stream", b"": "application/octet-stream"}
+    assert {raw: get(shown.guessed_type(F.lit(raw))) for raw in heads} == heads
+    assert [get(shown.image_extension(F.lit(x))) for x in ("IMAGE/PJPEG", "image/x-icon", "font/otf")] == ["jpg", "ico", ""]
+    assert get(shown.error_text(F.lit("timeout"), F.lit("?"), detail=F.lit("a {stage}"), budget_ms=F.lit(5), stage=null)) == "Reading took more than 5 ms at : a "
+    assert get(shown.error_text(F.lit("odd"), F.lit("raw"), detail=F.lit("d"))) == "raw"
+    assert get(shown.clock_time(F.lit(86_399_999), "+01:00")) == "00:59:59" and get(shown.clock_time(F.lit(None).cast("long"), "UTC")) == "--:--:--"
+    assert get(text.eta(F.lit(10.0), F.lit(50), F.lit("merging"))) == 10.0 and get(text.eta(F.lit(10.0), F.lit(50), F.lit("failed"))) is None
+    assert [get(text.overridden_path(F.lit(o), F.lit("/in/a.mkv"), F.lit(f))) for o, f in (("/out", True), ("/out/", False), ("/out", False), ("/out", None))] == ["/out/a.mkv", "/out/a.mkv", "/out", "/out"]
+
+
+def test_gates_and_flags(spark):
+    data = [("u", 0, 1, None, "V"), ("u", 1, 1, "video", "V"), ("u", 2, None, "audio", "A"), ("u", 3, 2, "audio", ""), ("u", 4, 3, "audio", None), ("u", 5, 4, "audio", "A"), ("v", 0, 4, "audio", "A"), ("v", 1, 4, "audio", "B")]
+    df = spark.createDataFrame(data, "unit string, pos int, number int, kind string, codec string")
+    assert rows(tracks.gated(df, "unit", "pos", "number", "kind", "codec").select("unit", "pos")) == [("u", 5), ("v", 0)]
+    data = [("u", "audio", 2, True, "true", "true"), ("u", "audio", 1, True, "false", "unspecified"), ("u", "audio", 0, False, "true", "true"), ("u", "video", 5, None, "true", "true"), ("u", "attachment", 6, True, "unspecified", "unspecified"), ("u", "subtitles", 7, True, "false", "true")]
+    df = spark.createDataFrame(data, "unit string, kind string, place int, checked boolean, default_track string, forced string")
+    got = {r.place: (r.default_track, r.forced) for r in tracks.unit_flags(df, "unit", "kind", "place", "checked").collect()}
+    assert got == {2: ("false", "false"), 1: ("true", "false"), 0: ("true", "true"), 5: ("true", "true"), 6: ("unspecified", "unspecified"), 7: ("true", "false")}
+    assert rows(tracks.unit_flags(df, "unit", "kind", "place", "checked", False, False)) == rows(df)
+
+
+def test_units_are_dispatched_by_their_members(spark):
+    schema = "unit string, output string, file string, file_index long, seq long, id long, type string, language string, track_name string, default_track string, forced string"
+    row = lambda unit, file, index, seq: (unit, f"/o/{unit}", file, index, seq, seq, "video", "en", "", "unspecified", "unspecified")
+    data = spark.createDataFrame([row("s", "s", 0, 0), row("m", "m", 0, 0), row("m", "n", 1, 0), row("h", "h", 0, 0)], schema)
+    members = spark.createDataFrame([("s", "s"), ("m", "m"), ("m", "n"), ("h", "h"), ("h", "i")], "unit string, file string")
+    want = rows(commands.arguments(data.where("unit = 's'"))) + rows(commands.arguments_of_many(data.where("unit <> 's'")))
+    assert rows(commands.dispatched(data, members)) == sorted(want, key=repr)
+
+
+def test_finished_and_group_state(spark):
+    changes = spark.createDataFrame([("d", 1, "a", "merging"), ("d", 2, "a", "failed"), ("d", 3, "b", "completed")], queue.CHANGES)
+    assert rows(queue.finished(changes)) == [("d", 2, "a", "failed"), ("d", 3, "b", "completed")]
+    units = spark.createDataFrame([("g", "a", "a"), ("g", "a", "b"), ("h", "c", "c"), ("i", "d", "d")], "group string, root string, file string")
+    selected = spark.createDataFrame([("b",), ("b",), ("c",)], "file string")
+    items = spark.createDataFrame([("c", "waiting"), ("d", "failed")], "file string, status string")
+    assert rows(queues.group_state(units, selected, items)) == [("g", True, True, True, False), ("h", False, True, False, True), ("i", False, False, True, False)]

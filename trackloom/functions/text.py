@@ -177,9 +177,11 @@ def stem(path: Column) -> Column:
     return F.when(name.rlike(r"(?s)^.+\.[^.]*$"), F.regexp_extract(name, r"(?s)^(.+)\.[^.]*$", 1)).otherwise(name)
 
 
-def overridden_path(override: Column, path: Column) -> Column:
-    """An override that ends with a slash is a folder, which the input's name is put into; any other is the output itself."""
-    return F.when(override.rlike(r"[/\\]$"), F.concat(override, file_name(path))).otherwise(override)
+def overridden_path(override: Column, path: Column, is_folder: Column | None = None) -> Column:
+    """An override that ends with a slash is a folder, which the input's name is put into; so is one that is known to be a folder (``is_folder``). Any other is the output itself."""
+    ends = override.rlike(r"[/\\]$")
+    inside = F.concat(override, F.when(ends, "").otherwise("/"), file_name(path))
+    return F.when(ends | (F.lit(False) if is_folder is None else F.coalesce(is_folder, F.lit(False))), inside).otherwise(override)
 
 
 def progress(line: Column) -> Column:
@@ -197,6 +199,7 @@ def newer(latest: Column, current: Column) -> Column:
     return fill(a) > fill(b)
 
 
-def eta(elapsed: Column, percent: Column) -> Column:
-    """Time left by the progress so far; null unless it is between nothing and all."""
-    return F.when((percent > 0) & (percent < 100), elapsed * (100 - percent) / percent)
+def eta(elapsed: Column, percent: Column, status: Column | None = None) -> Column:
+    """Time left by the progress so far; null unless it is between nothing and all and, where a status is given, that is ``merging``."""
+    left = F.when((percent > 0) & (percent < 100), elapsed * (100 - percent) / percent)
+    return left if status is None else F.when(status == "merging", left)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.ranks import numbered
+
 ACTIVE, TERMINAL = ("waiting", "merging"), ("completed", "cancelled", "failed")
 
 
@@ -110,3 +112,19 @@ def apart(rows: DataFrame, unit: str, order: str, checks: dict[str, Column], mak
     names = [c for c in made.columns if c != unit]
     all_ = rows.select(unit).distinct().join(made, unit, "left").join(errors, F.col(unit) == F.col("_unit"), "left")
     return all_.select(unit, *names, "error")
+
+
+def by_drive(items: DataFrame) -> DataFrame:
+    """Items with ``place`` from 0 in the list of their drive, in queue order. A drive's list is numbered by ranges, so it needs not fit in a task."""
+    return numbered(items, ["drive"], ["ord"])
+
+
+def group_state(units: DataFrame, selected: DataFrame, items: DataFrame) -> DataFrame:
+    """group, can_merge, can_copy, can_clear, has_waiting of groups of units (group, root, file: a row for each file of a unit, named by its root): there is something to merge or copy where some
+    file has a selected track (``selected``: file) and, to merge or clear, no root is active (``items``: file, status)."""
+    some = selected.select(F.col("file").alias("_selected")).distinct()
+    status = items.select(F.col("file").alias("_root"), F.col("status").alias("_status"))
+    rows = units.join(some, F.col("file") == F.col("_selected"), "left").join(status, F.col("root") == F.col("_root"), "left")
+    is_ = lambda *s: F.bool_or(F.coalesce(F.col("_status").isin(*s), F.lit(False)))
+    told = rows.groupBy("group").agg(F.bool_or(F.col("_selected").isNotNull()).alias("can_copy"), is_(*ACTIVE).alias("_active"), is_("waiting").alias("has_waiting"))
+    return told.select("group", (F.col("can_copy") & ~F.col("_active")).alias("can_merge"), "can_copy", (~F.col("_active")).alias("can_clear"), "has_waiting")

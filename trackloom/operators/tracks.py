@@ -80,3 +80,18 @@ def first_free(used: DataFrame, key: str, number: str) -> DataFrame:
     from_0 = used.where(F.col(number) >= 0).select(key, number).distinct()
     ranked = from_0.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(number)) - 1)
     return ranked.groupBy(key).agg(F.count_if(F.col(number) == F.col("_rank")).alias("free"))
+
+
+def gated(rows: DataFrame, unit: str, order: str, number: str, kind: str, codec: str) -> DataFrame:
+    """Tracks that count: of a unit's tracks with a number the first by ``order`` of each number, and of those the ones with a type and a codec. A track without either still takes its number."""
+    first = keep_first(rows.where(F.col(number).isNotNull()), [unit, number], [order])
+    return first.where(F.col(kind).isNotNull() & (F.coalesce(F.col(codec), F.lit("")) != ""))
+
+
+def unit_flags(rows: DataFrame, unit: str, kind: str, order: str, checked: str, reset_default: bool = True, reset_forced: bool = True, kinds: tuple[str, ...] = ("video", "audio", "subtitles")) -> DataFrame:
+    """Rows with ``default_track`` and ``forced`` (true, false or unspecified) after the profile's automation: of a unit's checked tracks the first of each of ``kinds`` by ``order`` (its own order
+    where it has one; no ties) is the default and the others are not; none is forced. Rows that aren't checked, and of other types, stay as they are."""
+    on = F.coalesce(F.col(checked), F.lit(False)) & F.col(kind).isin(*kinds)
+    first = F.row_number().over(Window.partitionBy(unit, kind, on).orderBy(order)) == 1
+    out = rows if not reset_default else rows.withColumn("default_track", F.when(on, F.when(first, "true").otherwise("false")).otherwise(F.col("default_track")))
+    return out if not reset_forced else out.withColumn("forced", F.when(on, "false").otherwise(F.col("forced")))

@@ -70,3 +70,12 @@ def arguments_of_many(rows: DataFrame, unit: str = "unit", output: str = "output
 def command_text(program: Column, argv: Column) -> Column:
     """The command for display: each argument quoted where it has to be."""
     return F.array_join(F.transform(F.concat(F.array(program), argv), shell_quoted), " ")
+
+
+def dispatched(rows: DataFrame, members: DataFrame, unit: str = "unit", output: str = "output", index: str = "file_index") -> DataFrame:
+    """unit, argv of all units: of those with one member (``members``: unit, file) by its tracks alone, of others by all their files, in their own order where the rows have ``place``. A unit's
+    form follows its members, whether or not all of them have selected tracks."""
+    many = members.groupBy(F.col(unit).alias("_unit")).agg((F.count("*") > 1).alias("_many"))
+    sized = rows.join(many, F.col(unit) == F.col("_unit"))
+    single = sized.where("NOT _many").drop("_unit", "_many")
+    return arguments(single, unit, output).unionByName(arguments_of_many(sized.where("_many").drop("_unit", "_many"), unit, output, index))

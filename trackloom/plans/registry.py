@@ -270,4 +270,4 @@ def kernel_bucket_users(spark, d):
     return groups.buckets(groups.language_signature(_t(spark, d, "events"), "user_id", F.col("event_type")), "signature", "user_id")
 
 
-from trackloom.plans import lists, media, rules  # noqa: E402,F401  add their queries
+from trackloom.plans import details, lists, media, rules  # noqa: E402,F401  add their queries

@@ -39,6 +39,11 @@ def snapshot(changes: DataFrame) -> DataFrame:
     return last.where(F.col("status").isin("waiting", "merging"))
 
 
+def finished(changes: DataFrame) -> DataFrame:
+    """file, outcome of the changes (a stream or a table) that end the work on a file."""
+    return changes.where(F.col("status").isin("completed", "cancelled", "failed")).select("drive", "seq", "file", F.col("status").alias("outcome"))
+
+
 def live(spark: SparkSession, checkpoint: str) -> DataFrame:
     """drive, file, status of all files that wait or are at work, as the state of a ``track`` query holds them (``checkpoint``: its checkpoint folder): a drive's first file is
     at work. Files that were cancelled while they waited, of which no change tells, are not in it."""
