@@ -109,9 +109,10 @@ def double_in_units(n: Column, suffix: str, unit: str = "KMGT", decimals: int =
         label, divisor = F.when(n > float(base**k), said).otherwise(label), F.when(n > float(base**k), float(base**k)).otherwise(divisor)
     q = n / divisor
     # above the first unit a quotient is over 1, so what follows its point is a whole number of 2**-52
-    scale, bits = 10**decimals, ((q - F.floor(q)) * F.lit(float(2**52))).cast("decimal(20,0)")
-    parts = F.call_function("div", bits * (2 * scale) + 2**52, F.lit(2**53).cast("decimal(20,0)"))
-    whole = F.floor(q).cast("decimal(38,0)") + F.when(parts == scale, 1).otherwise(0)
+    scale, whole = 10**decimals, F.floor(q)
+    # up to three decimals this stays within 64 bits
+    parts = F.shiftright(((q - whole) * F.lit(float(2**52))).cast("long") * (2 * scale) + 2**52, 53)
+    whole = whole + F.when(parts == scale, 1).otherwise(0)
     rest = F.regexp_replace(F.lpad(F.pmod(parts, F.lit(scale)).cast("string"), decimals, "0"), "0+$", "") if decimals else F.lit("")
     scaled = F.concat(whole.cast("string"), F.when(F.length(rest) > 0, F.concat(F.lit("."), rest)).otherwise(""))
     bare = F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))

@@ -91,8 +91,9 @@ SELECT page_id, line, text FROM e WHERE text <> ''
 def kernel_output_lines(spark, d):
     """Pages as output in chunks of 37 bytes, put together to lines again (a tag's end is a line's end)."""
     raw = F.regexp_replace("html", ">", "\n").cast("binary")
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("html") - 1, F.lit(0)), F.lit(37)))
-    chunks = _t(spark, d, "pages").select("page_id", raw.alias("raw"), at.alias("at")).select("page_id", "at", F.substring("raw", F.col("at") + 1, F.lit(37)).alias("data"))
+    at = F.sequence(F.lit(0), F.greatest(F.octet_length("html") - 1, F.lit(0)), F.lit(37))
+    cut = F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), F.substring(F.col("raw"), i + 1, F.lit(37)).alias("data"))))
+    chunks = _t(spark, d, "pages").select("page_id", raw.alias("raw"), "html").select("page_id", cut.alias("x")).select("page_id", "x.*")
     return lines.split_lines(chunks.repartition("page_id", "at"), "page_id", "at", "data")
 
 

@@ -47,8 +47,7 @@ def split_lines(chunks: DataFrame, key: str, order: str, data: str) -> DataFrame
     before it, which is told by the number of line ends so far, so no chunk waits for another and a program's chunks may lie in any number of tasks. Null chunks are empty."""
     # bytes stand as characters of one byte each until a line is whole
     pieces = F.split(F.decode(F.coalesce(F.col(data), F.lit(b"")), "ISO-8859-1"), r"[\r\n]", -1)
-    counted = running(chunks.select(F.col(key).alias("_key"), F.col(order).alias("_order"), (F.size(pieces) - 1).alias("_ends")), ["_key"], ["_order"], "_ends", "_begins")
-    placed = chunks.join(counted.select("_key", "_order", "_begins"), F.col(key).eqNullSafe(F.col("_key")) & (F.col(order) == F.col("_order")))
+    placed = running(chunks.select(key, F.col(order).alias("_order"), data, (F.size(pieces) - 1).alias("_ends")), [key], ["_order"], "_ends", "_begins")
     each = placed.select(F.col(key), F.col("_order"), "_begins", F.posexplode(pieces).alias("_at", "_piece")).where("_piece <> ''")
     whole = each.groupBy(key, (F.col("_begins") + F.col("_at")).alias("line")).agg(F.array_sort(F.collect_list(F.struct("_order", "_piece"))).alias("_all"))
     text = F.encode(F.array_join(F.transform("_all", lambda x: x["_piece"]), ""), "ISO-8859-1")
