@@ -86,14 +86,14 @@ def kernel_queue_by_drive(spark, d):
 
 @_query(f"""
 WITH i AS ({_ITEMS}), s AS (SELECT DISTINCT l_orderkey AS file FROM lineitem WHERE l_quantity > 45),
-g AS (SELECT i.unit AS "group", i.status, s.file IS NOT NULL AS sel FROM i LEFT JOIN s USING (file))
-SELECT "group", bool_or(sel) AND NOT bool_or(status IN ('waiting', 'merging')) AS can_merge, bool_or(sel) AS can_copy, NOT bool_or(status IN ('waiting', 'merging')) AS can_clear, bool_or(status = 'waiting') AS has_waiting FROM g GROUP BY 1
+g AS (SELECT i.unit, i.status, s.file IS NOT NULL AS sel FROM i LEFT JOIN s USING (file))
+SELECT unit, bool_or(sel) AND NOT bool_or(status IN ('waiting', 'merging')) AS can_merge, bool_or(sel) AS can_copy, NOT bool_or(status IN ('waiting', 'merging')) AS can_clear, bool_or(status = 'waiting') AS has_waiting FROM g GROUP BY 1
 """)
 def kernel_group_state(spark, d):
     """What can be done with customers as groups of orders."""
     items = _items(spark, d)
     units = items.select(F.col("unit").alias("group"), F.col("file").alias("root"), "file")
-    return queues.group_state(units, _t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("file")), items.select("file", "status"))
+    return queues.group_state(units, _t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("file")), items.select("file", "status")).withColumnRenamed("group", "unit")
 
 
 @_query("""
