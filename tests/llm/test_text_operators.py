@@ -290,11 +290,38 @@ def test_segmentation_equals_enumeration():
         assert "".join(got) == name and sum(map(cost, got)) == pytest.approx(best)
 
 
-def test_lexicon_fills_its_room(spark):
-    equal = spark.createDataFrame([(f"w{k}", 7) for k in range(60)] + [("top", 900)], "word string, n long")
-    got = urls.lexicon(equal, 50)
-    assert 45 <= len(got) <= 50 and "top" in got
-    assert len(urls.lexicon(equal, 100)) == 61 and urls.lexicon(equal.where("false"), 100) == {}
+def test_segmentation_of_a_very_long_name():
+    name = "casino" * 5000 + "q" * 20_000 + "win"
+    assert urls.segment(name, {"casino": -5.0, "win": -5.0}) == ["casino"] * 5000 + ["q" * 20_000, "win"]
+
+
+def test_names_meet_every_word_that_they_hold(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abé\U00010400") for _ in range(rng.randint(2, 5))) for _ in range(150)} | {"x" * 40, "y" * 300, "z" * 900}
+    names = ["".join(rng.choice("abé\U00010400") for _ in range(rng.randint(1, 30))) for _ in range(40)] + ["x" * 41, "a" + "y" * 300 + "b", "x" * 39]
+    got = urls.known_words(spark.createDataFrame(list(enumerate(dict.fromkeys(names))), "id long, name string"), spark.createDataFrame([(w, len(w)) for w in words], "word string, n long")).collect()
+    assert len(got) == len(set(names))
+    for r in got:
+        assert sorted((x.word, x.n) for x in r.words or ()) == sorted((w, len(w)) for w in words if w in r.name)
+
+
+def test_a_host_of_many_rows_is_dealt_and_keeps_its_words(spark):
+    rows = [(i % 5, "bigword.com" if i % 3 else f"h{i % 4}.smallword.net", f"/en/{i % 7}/x", None, None) for i in range(60)]
+    made = spark.createDataFrame(rows, "page_id long, host string, path string, rule string, ruled string")
+    counts = spark.createDataFrame([("big", 5), ("small", 3), ("word", 9)], "word string, n long")
+    whole, dealt = ([(r.page_id, r.host, r.path, tuple(r.tokens)) for r in urls.with_tokens(made, counts, 1 << 12, n).collect()] for n in (1000, 3))
+    want = [(i, h, p, tuple(urls.bucket(t, 1 << 12) for t in urls.host_tokens(h, {"big": -1.0, "small": -1.5, "word": -0.6}) + urls.path_tokens(p))) for i, h, p, _, _ in rows]
+    assert sorted(whole) == sorted(dealt) == sorted(want)
+
+
+def test_pages_with_rare_long_and_missing_words(spark):
+    word = "w" * 60  # one such word in all texts is known
+    rows = [(1, f"http://{word}shop.org/a", f"<p>{word} shop</p>"), (2, f"http://{'k' * 30_000}.org/", None), (None, None, ""), (1, f"http://{word}shop.org/a", "x")]
+    made = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, host int")
+    got = urls.judge(made).collect()
+    assert sorted((r.page_id or 0, len(r.host), r.verdict) for r in got) == [(0, 0, "allow"), (1, 68, "allow"), (1, 68, "allow"), (2, 30_004, "allow")]
+    tokens = urls.with_tokens(made.select("page_id", *(c.alias(n) for c, n in zip(urls.split_url(made["url"]), ("host", "path")))).selectExpr("*", "null rule", "null ruled").selectExpr("page_id", "host", "path", "string(rule)", "string(ruled)"), urls.word_counts(made["html"], made), 64)
+    assert {r.page_id: r.tokens for r in tokens.collect()}[1] == [urls.bucket(t, 64) for t in ("h:" + word, "h:shop", "p:a")]
 
 
 def test_bayes_equals_odds_by_hand(spark):
