@@ -59,6 +59,24 @@ def test_drop_copies_keeps_columns_and_handles_repeated_ids(spark):
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "4"]
 
 
+def test_copies_of_rows_that_share_ids_go_through_the_state(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 3, 4]), rng.choice(["a", "A", "b", "", None, "c c", "C c", "x" * 50_000])) for _ in range(120)]
+    got = dedup.drop_copies(spark.createDataFrame([(*r, k, k) for k, r in enumerate(rows)], "doc_id long, text string, row int, locator int").repartition(5)).collect()
+    want = {}
+    for i, t in rows:
+        want[fold(t)] = max(want.get(fold(t), -1), -1 if i is None else i)
+    assert {fold(r.text): r.doc_id if r.doc_id is not None else -1 for r in got} == want and len(got) == len(want)
+    assert all((rows[r.row][0], rows[r.row][1] or "") == (r.doc_id, r.text or "") and r.row == r.locator for r in got)
+
+
+def test_clashing_digests_are_located_in_the_given_rows(spark):
+    texts = ["ab", "ac", "AB", "b", "ac"]
+    rows = spark.createDataFrame([(7, t, 100 + k) for k, t in enumerate(texts)], "doc_id long, text string, at long")
+    got = {r.locator: (r.group_size, r.kept) for r in dedup.exact_dedup(rows, row_col="at", digest=lambda t: t.substr(1, 1)).collect()}
+    assert got == {100: (2, False), 101: (2, False), 102: (2, True), 103: (1, True), 104: (2, True)}
+
+
 # near copies
 
 

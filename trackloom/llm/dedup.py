@@ -76,42 +76,43 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per input row: doc_id, digest, keep_id, group_size, kept.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, digest, keep_id, group_size, kept, locator.
 
     Texts are equal when identical after lowering A-Z; null is empty. The row with the largest id stays (a null id is
     below all others; of rows that share that id, one stays). ``digest`` maps the normalised text to the state's key;
-    texts that share a digest and differ are told apart. An empty table gives an empty result."""
+    texts that share a digest and differ are told apart. ``row_col`` names a column of whole numbers, all different, that
+    locates each row in ``docs``; without it the locator is the row's place among the arrivals. An empty table gives an empty result."""
     spark, root = docs.sparkSession, shared_dir(docs.sparkSession)
-    named = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text")).withColumn("digest", digest(F.col("text")))
-    landed = named.select("doc_id", "digest", F.monotonically_increasing_id().alias("locator"))
-    landed.write.parquet(f"{root}/arrivals")  # the locator is the row's place, fixed once it is written
+    located = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
+    named = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"), located.alias("locator"))
+    place = F.pmod(F.xxhash64("text"), F.lit(PLACES)).cast("int")
+    landed = named.select("doc_id", digest(F.col("text")).alias("digest"), "locator", place.alias("place"))
+    landed.write.parquet(f"{root}/arrivals")  # a locator of the arrivals is fixed once it is written
     state = stage(run_state(spark.readStream.schema(landed.schema).parquet(f"{root}/arrivals"), root))
     for done in ("updates", "query"):  # this stream has ended for good; run_state alone leaves them for the next arrivals
         delete(spark, f"{root}/{done}")
     rows = spark.read.schema(landed.schema).parquet(f"{root}/arrivals").join(state, "digest")
-    out = rows.select("doc_id", "digest", "keep_id", "group_size", (F.col("locator") == F.col("keep_locator")).alias("kept"))
-    # full bytes of all hits, compared within their digest; a large group meets as one row per task. Only what lies in a place of some hit is shuffled
+    out = rows.select("doc_id", "digest", "keep_id", "group_size", (F.col("locator") == F.col("keep_locator")).alias("kept"), "locator")
+    # full bytes of all hits, compared within their digest; a large group meets as one row per task. Only what lies in a place of some hit is digested again and shuffled
     often = state.where("group_size > 1").select("digest")
-    place = F.pmod(F.xxhash64("digest"), F.lit(PLACES))
-    hits = named.join(F.broadcast(stage(often.select(place.alias("place")).distinct())), place == F.col("place"), "left_semi").join(often, "digest", "left_semi")
+    places = stage(rows.where("group_size > 1").select(F.col("place").alias("spot")).distinct())
+    sieved = named.join(F.broadcast(places), place == F.col("spot"), "left_semi").withColumn("digest", digest(F.col("text")))
+    hits = sieved.join(often, "digest", "left_semi")
     clashes = stage(hits.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest"))
     if clashes.isEmpty():
         return out
-    apart = stage(hits.join(clashes, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()))
-    rank = F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "row")
-    groups = apart.groupBy("digest", "text").agg(F.count("*").alias("group_size"), F.max_by(F.struct("doc_id", "row"), rank).alias("last"))
-    parted = apart.join(groups, ["digest", "text"]).select("doc_id", "digest", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"))
+    apart = stage(hits.join(clashes, "digest", "left_semi"))
+    rank = F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "locator")
+    groups = apart.groupBy("digest", "text").agg(F.count("*").alias("group_size"), F.max_by(F.struct("doc_id", "locator"), rank).alias("last"))
+    parted = apart.join(groups, ["digest", "text"]).select("doc_id", "digest", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("last.locator")).alias("kept"), "locator")
     return out.join(clashes, "digest", "left_anti").select(parted.columns).unionByName(parted)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without exact copies, all columns as they are (whatever their names); of equal texts the row with the largest id stays. Ids may repeat
-    or be null, which is below all others: rows are told apart by numbers then, and of equal texts with equal ids one stays. An empty table gives an empty result."""
+    or be null, which is below all others: rows are located by numbers then, and of equal texts with equal ids one stays. An empty table gives an empty result."""
     rows, key, added = keyed(docs, id_col)
-    if not added:
-        gone = stage(exact_dedup(docs, id_col, text_col).where("NOT kept").select("doc_id"))
-        return without(docs, id_col, gone)
-    order = F.struct(F.coalesce(id_col, F.lit(-(2**63))).alias("id"), F.col(key).alias("row"))
-    stay = rows.groupBy(sha256(normalised(F.col(text_col))).alias("digest"), normalised(F.col(text_col)).alias("whole")).agg(F.max(order)["row"].alias("stay")).select(F.col("stay").alias(fresh(rows, "stay")))
-    return rows.join(stay, F.col(key) == stay[stay.columns[0]], "left_semi").drop(key)
+    found = exact_dedup(rows, id_col, text_col, row_col=key if added else None).where("NOT kept")
+    kept = without(rows, key, stage(found.select("locator" if added else "doc_id")))
+    return kept.drop(key) if added else kept
