@@ -34,8 +34,8 @@ WIDTH, PERCENT = 5, 80
 PLACES = 20
 #: Cost model: candidates per posted token that is not known to be frequent, and the cost of verifying a candidate, per shingle, in postings.
 STRAY, VERIFY = 0.2, 0.25
-#: Members of a list that become pairs; longer lists are rebased.
-SHORT = 16
+#: Members of a list that become pairs; longer lists are rebased. A round doubles it, up to ``MOST``.
+SHORT, MOST = 16, 1024
 #: Sets brought to one place of another.
 MET = 2048
 #: Prefix tokens that a task gathers.
@@ -428,7 +428,7 @@ def candidates(entries: DataFrame, sets: DataFrame, texts: DataFrame, classes: B
         pairs.append(stage(short_pairs(rest).where("c >= need").select("a", "b")))
         if long.isEmpty():
             break
-        short *= 2  # each round has fewer sets left
+        short = max(short, min(2 * short, MOST))  # each round has fewer sets left: a list's pivot leaves it
         made = stage(rebased(long, sets, texts, classes))
         links.append(stage(made.where("list = -1").select(F.col("sid").alias("a"), F.col("root").alias("b"))))
         lists = made.where("list >= 0")
