@@ -96,6 +96,38 @@ def test_scan_adds_planted_formats_and_nothing_else(spark):
     assert [hashlib.sha256(x.encode()).hexdigest() for x in kept] == [r.base_sha256 for r in got.values()]
 
 
+def test_a_mix_of_classes_tells_numbers_from_hexadecimal_strings():
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    words = ["".join(rng.choice("aeilnorst") for _ in range(rng.randint(6, 12))) for _ in range(1500)] + [str(rng.randint(10**5, 10**9)) for _ in range(500)]
+    grammar = secret_scan.learn({"assign": [make(rng.choice([12, 16, 20])) for _ in range(1500)], "access": [], "hex": []}, words)
+    assert sum(grammar.accepts(make(16)) for _ in range(500)) >= 440
+    assert not any(grammar.accepts(str(rng.randint(10**15, 10**16 - 1))) for _ in range(500))
+    mix = grammar.kinds["assign"][2]
+    n, shares = 16, {c: k / 16 for c, k in {"d": 10, "a": 6}.items()}
+    assert abs(mix.surprise("0" * 10 + "a" * 6) - n * sum(p * math.log(p / mix.shares[c]) for c, p in shares.items())) < 1e-9
+    assert mix.surprise("5" * 16) > 6 > 1 > mix.surprise("0" * 10 + "a" * 6)
+    assert mix.surprise("!" * 3) > 20 and secret_scan.Mix.of([]).surprise("") == 0
+
+
+def test_held_out_recall_and_precision(spark):
+    """On a table where each format stands bare as often as it is labelled; the report's counts equal those by hand."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(2000):
+        value, words = FORMATS["summed"](rng), ["".join(rng.choice("aeilnorst") for _ in range(rng.randint(3, 9))) for _ in range(30)]
+        texts.append(" ".join([*words, f"token={value}"]) if i % 2 else " ".join(words))
+    table = docs(spark, texts)
+    got = {r.kind: r for r in secret_scan.held_out(table).collect()}
+    out = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 4 == 0]
+    assert got["assign"].n == sum("token=" in t for t in out) and got["access"].n == got["hex"].n == 0
+    assert got["word"].n == sum(len(secret_scan.tokens(t, secret_scan.base(t))) for t in out)
+    assert got["assign"].accepted >= 0.9 * got["assign"].n > 0 and got["word"].accepted <= 0.01 * got["word"].n
+    odd = secret_scan.held_out(spark.createDataFrame([(None, None), (0, None), (1, "")], EMPTY)).collect()
+    assert sorted(r.kind for r in odd) == sorted(got) and not any(r.n or r.accepted for r in odd)
+    assert [r.n for r in secret_scan.held_out(docs(spark, [])).collect()] == [0] * 4
+
+
 def test_tokens_beside_base_spans_are_candidates():
     text = "x-" + "0123456789abcdef" * 2 + "-y and password=abcdefgh and later123"
     found = secret_scan.base(text)

@@ -5,7 +5,8 @@ characters in each state, of stopping there, and of how much of the string is st
 neither what follows nor what remains differs beyond Hoeffding's bound; a state that too few strings reach to tell joins the
 nearest one. So credentials of a fixed length become a chain of states and those of free length a few loops. An automaton of ordinary tokens is
 inferred likewise. Every token of credential characters that lies in no base span is a candidate, and scored: it is a secret if the likelihood of a kind's format
-outweighs that of an ordinary token by more than ordinary tokens outnumber the labelled ones, and is no less than most labelled strings reach.
+outweighs that of an ordinary token by more than ordinary tokens outnumber the labelled ones, is no less than most labelled strings reach, and mixes the
+classes of symbols as they do: a bare number has likely steps in an automaton of hexadecimal digits, but no letters among many symbols.
 """
 
 from __future__ import annotations
@@ -189,20 +190,41 @@ def infer(strings: list[str], alpha: float = 0.01) -> Automaton:
     return out
 
 
+@dataclass
+class Mix:
+    """Shares of the classes in a kind's strings, one more counted for each known class, and ``unseen`` for a class that none of them has."""
+
+    shares: dict[str, float]
+    unseen: float
+
+    @classmethod
+    def of(cls, strings: list[str]) -> Mix:
+        counts = Counter(CLASSES.values())
+        for s in strings:
+            counts.update(CLASS.get(c, c) for c in s)
+        n = counts.total() + 1
+        return cls({c: k / n for c, k in counts.items()}, 1 / n)
+
+    def surprise(self, text: str) -> float:
+        """The log likelihood ratio of the text's own shares of classes to these: near 0 whatever the length where it is mixed alike."""
+        n = len(text)
+        return sum(k * math.log(k / (n * self.shares.get(c, self.unseen))) for c, k in Counter(CLASS.get(c, c) for c in text).items())
+
+
 @dataclass
 class Grammar:
-    """Automata by kind, each with the least likelihood per symbol that its own strings reach, the automaton of ordinary tokens, and by how much a kind's
-    likelihood must outweigh the ordinary one."""
+    """By kind: the automaton, the least likelihood per symbol that its own strings reach, their mix of classes, and how far they depart from it at most. Besides, the
+    automaton of ordinary tokens, and by how much a kind's likelihood must outweigh the ordinary one."""
 
-    kinds: dict[str, tuple[Automaton, float]]
+    kinds: dict[str, tuple[Automaton, float, Mix, float]]
     ordinary: Automaton
     margin: float
 
     def accepts(self, token: str) -> bool:
         plain = None
-        for a, least in self.kinds.values():
+        for a, least, mix, most in self.kinds.values():
             s = a.score(token)
-            if s >= least * (len(token) + 1):
+            if s >= least * (len(token) + 1) and mix.surprise(token) <= most:
                 plain = self.ordinary.score(token) if plain is None else plain
                 if s - plain > self.margin:
                     return True
@@ -210,14 +232,16 @@ class Grammar:
 
 
 def learn(labelled: dict[str, list[str]], ordinary: list[str], odds: float = 1e-4, quantile: float = 0.02, least: int = 20) -> Grammar:
-    """Automata from half of each kind's strings, thresholds from the other half: ``quantile`` of them fall below. A kind with fewer
-    than ``least`` strings gets none. ``odds``: of labelled strings to ordinary tokens."""
+    """Automata and mixes from half of each kind's strings, thresholds from the other half: ``quantile`` of them fall below the likelihood, and as many depart
+    further from the mix. A kind with fewer than ``least`` strings gets none. ``odds``: of labelled strings to ordinary tokens."""
     kinds = {}
     for kind, strings in labelled.items():
         if len(strings) >= least:
-            a = infer(strings[::2])
+            a, mix = infer(strings[::2]), Mix.of(strings[::2])
             scores = sorted(a.score(s) / (len(s) + 1) for s in strings[1::2])
-            kinds[kind] = (a, scores[int(quantile * len(scores))])
+            away = sorted((mix.surprise(s) for s in strings[1::2]), reverse=True)
+            out = int(quantile * len(scores))
+            kinds[kind] = (a, scores[out], mix, away[out])
     return Grammar(kinds, infer(ordinary) if ordinary else Automaton([{}], [0.0]), max(math.log(1 / min(max(odds, 1e-12), 1.0)), 7.0))
 
 
@@ -312,6 +336,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
 
 
+def held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2000, parts: int = 4) -> DataFrame:
+    """How the automata do on credentials whose labels they don't see: kind, n, accepted (long). They are inferred from the documents whose crc32 of the id, modulo ``parts``, is
+    not 0; in the others, every value that a base rule labels is scored as a bare token (its kind's row), and so is every candidate beside them (kind ``word``).
+    Accepted of a labelled kind to its n is recall; accepted of the labelled kinds to all accepted is precision, at least, as an unlabelled token may be a
+    credential too. Each occurrence counts. Null texts are empty, null ids are learned from; kinds that don't occur, as in an empty table, have rows of 0."""
+    rest = F.coalesce(F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")), F.lit(parts)), F.lit(1))
+    held = docs.sparkSession.sparkContext.broadcast(grammar_of(docs.where(rest != 0), text_col, most))
+    kinds = (*KINDS[:3], "word")
+
+    def run(batches):
+        n, taken = Counter(), Counter()
+        for piece in slices(batches, "text", 2048, 2_000_000):
+            for text in piece.column(0).to_pylist():
+                own = base(text or "")
+                for kind, value in [(k, v) for k, _, _, v in own] + [("word", text[s:e]) for s, e in tokens(text or "", own)]:
+                    n[kind] += 1
+                    taken[kind] += held.value.accepts(value)
+        yield pa.RecordBatch.from_pydict({"kind": list(kinds), "n": [n[k] for k in kinds], "accepted": [taken[k] for k in kinds]})
+
+    small_batches(docs.sparkSession)
+    counts = docs.where(rest == 0).select(F.col(text_col).alias("text")).mapInArrow(run, "kind string, n long, accepted long")
+    none = docs.sparkSession.createDataFrame([(k, 0, 0) for k in kinds], counts.schema)
+    return counts.unionByName(none).groupBy("kind").agg(F.sum("n").alias("n"), F.sum("accepted").alias("accepted"))
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     """kind:start:end by start, then by kind as listed."""
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]))))
