@@ -404,6 +404,21 @@ def test_a_bad_host_sinks_its_documents(spark):
     assert host_rules.apply_host_rules(table.where("false")).count() == 0
 
 
+def test_a_host_that_stands_out_loses_what_fails_softer_rules(spark):
+    good, soft = " ".join(f"word{k}" for k in range(80)), " ".join(f"word{k} ####" for k in range(80))
+    share = {f"h{h}": 1 + h % 3 for h in range(12)} | {"worse": 9}  # of 20
+    rows = [(h, soft if k < n else good) for h, n in share.items() for k in range(20)]
+    got = host_rules.apply_host_rules(spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")).collect()
+    rates = [n / 20 for n in share.values()]
+    m, v = np.mean(rates), np.var(rates)
+    w = max(1, m * (1 - m) / v - 1)
+    for r in got:
+        rate = (share[r.host] + m * w) / (20 + w)
+        assert abs(r.host_rate - rate) < 1e-8 and r.host_ok
+        assert r.host_strict == (rate > m + math.sqrt(m * (1 - m) / (w + 1))) == (r.host == "worse")
+        assert r.kept == (r.host != "worse" or rows[r.doc_id][1] == good)
+
+
 # packing
 
 

@@ -2,7 +2,8 @@
 
 Each document is measured over its whole text, rule failures are summed by host, each host's failure
 rate is shrunk with a beta prior fitted to all hosts by the method of moments, and the host's verdict
-is joined back to its documents.
+is joined back to its documents. A bad host loses all of them; a host that stands out from the prior loses
+those that fail one of the softer rules, which elsewhere are given the benefit of the doubt.
 """
 
 from __future__ import annotations
@@ -74,8 +75,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def host_verdicts(measured: DataFrame, most: float = 0.5) -> DataFrame:
-    """host, n_docs, n_failed, host_rate, host_ok. The prior's mean m and weight w come from the hosts' rates
+    """host, n_docs, n_failed, host_rate, host_ok, host_strict. The prior's mean m and weight w come from the hosts' rates
     (w = m(1-m)/var - 1, at least 1, and 1 where the rates don't vary); host_rate = (n_failed + m w)/(n_docs + w).
+    A host is ok if that is at most ``most``, and strict if it lies more than the prior's standard deviation, the root of m(1-m)/(w+1), above m.
     Documents without a host form one host of their own."""
     hosts = measured.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
@@ -83,13 +85,15 @@ def host_verdicts(measured: DataFrame, most: float = 0.5) -> DataFrame:
         "m", F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)).otherwise(1.0).alias("w")
     )
     shrunk = hosts.join(F.broadcast(prior))  # one row
-    return shrunk.select("host", "n_docs", "n_failed", F.round((F.col("n_failed") + F.col("m") * F.col("w")) / (F.col("n_docs") + F.col("w")), 9).alias("host_rate")).withColumn("host_ok", F.col("host_rate") <= most)
+    bound = F.round(F.col("m") + F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("w") + 1)), 9)
+    rated = shrunk.select("host", "n_docs", "n_failed", F.round((F.col("n_failed") + F.col("m") * F.col("w")) / (F.col("n_docs") + F.col("w")), 9).alias("host_rate"), bound.alias("bound"))
+    return rated.withColumn("host_ok", F.col("host_rate") <= most).withColumn("host_strict", F.col("host_rate") > F.col("bound")).drop("bound")
 
 
 def apply_host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most: float = 0.5) -> DataFrame:
-    """Measured documents with host_rate and kept. A document is kept if it passes the base rule and its host's
-    shrunk failure rate is at most ``most``. Every input row gives one row, repeated ids too; an empty table gives none."""
+    """Measured documents with host_rate, host_ok, host_strict and kept. A document is kept if it passes the base rule, its host's
+    shrunk failure rate is at most ``most``, and it passes the softer rules too or its host isn't strict. Every input row gives one row, repeated ids too; an empty table gives none."""
     measured = stage(measure(docs, id_col, text_col, host_col))
     hosts = host_verdicts(measured, most)
     out = measured.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop("of", "failed", "n_lines")
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("host_ok") & ~(F.col("failed") & F.col("host_strict"))).drop("of", "failed", "n_lines")

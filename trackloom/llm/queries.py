@@ -116,8 +116,8 @@ f AS (SELECT *, base_failed OR 10 * n_symbols > word_chars OR 10 * n_dup_lines >
 hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN failed THEN 1 ELSE 0 END) AS k FROM f GROUP BY source),
 p AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM hosts),
 q AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE 1.0 END AS w FROM p),
-rates AS (SELECT source, round((k + m * w) / (n + w), 9) AS host_rate FROM hosts, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= 0.5 AS kept, host_rate
+rates AS (SELECT source, round((k + m * w) / (n + w), 9) AS host_rate, round(m + sqrt(m * (1 - m) / (w + 1)), 9) AS bound FROM hosts, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= 0.5 AND NOT (failed AND host_rate > bound) AS kept, host_rate
 FROM f LEFT JOIN rates ON f.source IS NOT DISTINCT FROM rates.source
 """
 
