@@ -120,6 +120,25 @@ def test_task_documents_keep_who_is_in_enough_documents(spark):
     assert sorted((r.lang, r.term) for r in got) == sorted(("en", w) for w, n in often.items() if n >= 3)
 
 
+def test_slices_meet_before_terms_become_rows(spark, monkeypatch):
+    for name, value in (("TEXTS", 7), ("CHUNK", 3), ("ROW", 2), ("AT_ONCE", 5)):
+        monkeypatch.setattr(divergence, name, value)
+    rows = odd_documents()
+    table = spark.createDataFrame(rows, "lang string, source string, text string").na.fill("").repartition(9)
+    got = divergence.task_sums(table, 3).collect()
+    terms = [Counter(), Counter()]
+    for lang, source, text in rows:
+        w = re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        terms[0].update((lang or "", t, source or "") for t in w)
+        terms[1].update(f"{lang or ''} {t}" for t in set(w))
+    # a source's count of a term comes once, and a term once a level, however many slices have it
+    assert sorted((r.lang, r.term, x["source"], x["count"]) for r in got if r.level is None for x in r.sources) == sorted((*k, n) for k, n in terms[0].items())
+    assert sorted((r.level, t) for r in got if r.level for t in r.tokens) == sorted((k, t) for t, n in terms[1].items() for k in (1, 2, 3) if n >= k)
+    assert max(len(r.sources) for r in got if r.level is None) == 2 and max(len(r.tokens) for r in got if r.level) == 3
+    audited = divergence.audit(table, most=10).select("lang", "source", "part", "item", "value", "rank").collect()
+    assert key(audited) == key(plain_audit(rows))
+
+
 def test_vectors_equal_counters():
     texts = ["", " a B a", "b", "é-É a\tzz", "12", "zz zz zz "]
     names, doc, term, count = divergence.vectors(texts)

@@ -2,17 +2,18 @@
 
 A count vectoriser per language keeps the terms of at least ``min_df`` documents, all of them (its vocabulary size is the largest integer). One fit serves all
 languages, as each term carries its language, so every language has a vocabulary of its own. It isn't fitted to the documents themselves but to
-what they come to by task: of a task's documents, the terms in one or more, in two or more, ... make ``min_df`` documents, and a
-term is in ``min_df`` of these, over all tasks, just when it is in as many documents. A vocabulary is held by the driver, so terms are
-counted before and dealt by digest to as many vectorisers as keep each vocabulary within a bound.
+what they come to: of a chunk of terms, those in one or more documents, in two or more, ... make ``min_df`` documents, and a
+term is in ``min_df`` of these just when it is in as many documents. A vocabulary is held by the driver, so chunks, whose kept terms are
+counted before, are dealt to as many vectorisers as keep each vocabulary within a bound.
 
-Documents become sparse vectors, a slice of them at a time, and vectors are summed by language and source, first within tasks, then by term, where the sums meet the
-vocabularies as a table. Pairs of sources are evaluated on what is not zero: terms that both have are met by a join, terms that one has count by how often
+Documents become sparse vectors, a slice of them at a time, and vectors are summed by language and source within slices. The sums go by digest of the term to
+tasks that add up those of all slices, and meet the vocabularies as a table. Pairs of sources are evaluated on what is not zero: terms that both have are met by a join, terms that one has count by how often
 each share occurs, and the terms that neither has are one product.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +23,16 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stage
+from .common import parts_of, slices, small_batches, stage
 
 #: Documents that a kept term is in, at least; the largest integer; shares are in parts of this many; ranks of terms that are told.
 MIN_DF, ALL, UNIT, RANKS = 3, 2**31 - 1, 1_000_000_000, 200
 #: Terms that a vocabulary holds at most.
 MOST_TERMS = 1 << 18
-#: Bytes of texts that become vectors at once; a longer text stands alone.
-HELD = 32_000_000
-#: Terms of a row that is handed on.
-ROW = 20_000
+#: Bytes of texts, and texts, that become vectors at once; a longer text stands alone.
+HELD, TEXTS = 16_000_000, 1 << 16
+#: Sources of a row that is handed on; terms of a chunk; rows that a task hands on at once.
+ROW, CHUNK, AT_ONCE = 20_000, 4096, 20_000
 #: Bytes that no term has are blanks, and only A-Z fold. Only ASCII characters end a term, so bytes of UTF-8 can stand for characters.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -41,66 +42,77 @@ def vectors(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndar
     raw = [t.encode("utf-8", "surrogatepass").translate(_FOLD) + b" " for t in texts]
     begin = np.cumsum([0] + [len(x) for x in raw])[:-1]
     flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    del raw  # millions of numbers follow, so what is done with goes
     blank = flat == 32
     after = np.concatenate([[True], blank[:-1]])
     first = np.flatnonzero(~blank & after)
     data = flat[~(blank & after)]  # each term and one blank
+    del flat, blank, after
     offsets = np.concatenate([[0], np.flatnonzero(data == 32) + 1]).astype(np.int64)
     coded = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-    key = (np.searchsorted(begin, first, "right") - 1).astype(np.int64) << 32 | np.asarray(coded.indices).astype(np.int64)
+    key = np.searchsorted(begin, first, "right") - 1
+    del offsets, data, first
+    key <<= 32
+    key |= np.asarray(coded.indices)
     key.sort()
     cut = np.flatnonzero(np.diff(key, prepend=-1))
     return pc.utf8_rtrim(coded.dictionary.cast(pa.large_string()), " ").cast(pa.string()), key[cut] >> 32, key[cut] & 0xFFFFFFFF, np.diff(cut, append=len(key))
 
 
-def _summed(group: np.ndarray, term: np.ndarray, count: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(group, term, sum) of what is given by group and term; without counts, how many there are."""
-    key = group.astype(np.int64) << 32 | term
-    order = np.argsort(key) if count is not None else None
-    key = np.sort(key) if order is None else key[order]
+def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(high, low, sums) of the values by the two halves of a key, in order; last, how many there are of each."""
+    order = np.argsort(key)
+    key = key[order]
     cut = np.flatnonzero(np.diff(key, prepend=-1))
-    if not len(cut):
-        return key, key, key
-    return key[cut] >> 32, key[cut] & 0xFFFFFFFF, np.diff(cut, append=len(key)) if order is None else np.add.reduceat(count[order], cut)
+    return key[cut] >> 32, key[cut] & 0xFFFFFFFF, *(np.add.reduceat(x[order], cut) if len(cut) else x for x in values), np.diff(cut, append=len(key))
 
 
 def _named(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
 
 
-def task_sums(named: DataFrame, min_df: int) -> DataFrame:
-    """Of each slice of a task's documents: terms and counts, the sums of the vectors by lang and source; and, without source and counts, terms of the documents that stand
-    for the slice's documents of a language. Rows are cut, which leaves each term in as many documents."""
-    lists = (pa.list_(pa.string()), pa.list_(pa.int64()))
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", lists[0]), ("counts", lists[1])])
+def slice_sums(named: DataFrame, places: int) -> DataFrame:
+    """The sums of the vectors of each slice of a task's documents, a row for each place that terms are dealt to by digest: terms, (lang, source) groups, and (group, term, count, docs) of what is not
+    zero, where ``docs`` is in how many documents of the slice's group the term is."""
+    names_of, numbers = pa.list_(pa.string()), pa.list_(pa.int32())
+    schema = pa.schema([("place", pa.int32()), ("terms", names_of), ("langs", names_of), ("sources", names_of), ("group", numbers), ("term", numbers), ("count", pa.list_(pa.int64())), ("docs", numbers)])
 
     def work(rows: list[tuple[str, str, str]]) -> Iterator[pa.RecordBatch]:
         names, doc, term, count = vectors([t for _, _, t in rows])
         groups = {g: k for k, g in enumerate(dict.fromkeys((lang, source) for lang, source, _ in rows))}
-        langs = {g: k for k, g in enumerate(dict.fromkeys(lang for lang, _, _ in rows))}
-        by_group = _summed(np.array([groups[lang, source] for lang, source, _ in rows])[doc], term, count)
-        by_lang = _summed(np.array([langs[lang] for lang, _, _ in rows])[doc], term, None)
-        for (lang, source), k in groups.items():
-            a, z = np.searchsorted(by_group[0], [k, k + 1])
-            for i in range(a, z, ROW):
-                yield row(lang, source, names.take(pa.array(by_group[1][i : min(i + ROW, z)])), by_group[2][i : min(i + ROW, z)])
-        for lang, k in langs.items():
-            a, z = np.searchsorted(by_lang[0], [k, k + 1])
-            for least in range(1, min_df + 1):
-                level = by_lang[1][a:z][by_lang[2][a:z] >= least]
-                for i in range(0, len(level), ROW):
-                    yield row(lang, None, names.take(pa.array(level[i : i + ROW])), None)
-
-    def row(lang: str, source: str | None, names: pa.Array, counts: np.ndarray | None) -> pa.RecordBatch:
-        ends = pa.array([0, len(names)], pa.int32())
-        held = pa.nulls(1, lists[1]) if counts is None else pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([source], pa.string()), pa.ListArray.from_arrays(ends, names), held], schema=schema)
+        where = np.fromiter(map(zlib.crc32, names.cast(pa.binary()).to_pylist()), np.int64, len(names)) % places
+        order = np.argsort(where, kind="stable")
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        of = np.array([groups[lang, source] for lang, source, _ in rows], np.int64)
+        cells = where[term]
+        cells *= len(groups)
+        cells += of[doc]
+        cells <<= 32
+        cells |= rank[term]
+        del doc, term
+        both, term, count, docs = _summed(cells, count)
+        place = both // len(groups)
+        new = np.diff(both, prepend=-1) != 0
+        used = both[new]
+        steps = np.arange(places + 1)
+        of_names, of_cells, of_groups = np.searchsorted(where[order], steps), np.searchsorted(place, steps), np.searchsorted(used // len(groups), steps)
+        group = np.cumsum(new) - 1 - of_groups[place]
+        have = np.flatnonzero(np.diff(of_cells))
+
+        def lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.append(offsets[have], offsets[-1]), pa.int32()), values)
+
+        langs, sources = (pa.array([g[k] for g in groups], pa.string()).take(pa.array(used % len(groups))) for k in (0, 1))
+        cell = [lists(of_cells, pa.array(x, t)) for x, t in ((group, pa.int32()), (term - of_names[place], pa.int32()), (count, pa.int64()), (docs, pa.int32()))]
+        if len(have):
+            yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), lists(of_names, names.take(pa.array(order))), lists(of_groups, langs), lists(of_groups, sources), *cell], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for piece in slices(batches, "text", 4096):
             for x in zip(*(piece.column(k).to_pylist() for k in range(3)), strict=True):
-                if rows and size + len(x[2]) > HELD:
+                if rows and (size + len(x[2]) > HELD or len(rows) == TEXTS):
                     yield from work(rows)
                     rows, size = [], 0
                 rows.append(x)
@@ -109,25 +121,87 @@ def task_sums(named: DataFrame, min_df: int) -> DataFrame:
             yield from work(rows)
         pa.default_memory_pool().release_unused()
 
+    return named.mapInArrow(run, "place int, terms array<string>, langs array<string>, sources array<string>, group array<int>, term array<int>, count array<long>, docs array<int>")
+
+
+def task_sums(named: DataFrame, min_df: int) -> DataFrame:
+    """The sums of all vectors: lang, term and its sources with counts, where those of very many sources take several rows; and, by chunk and level, ``tokens``: terms with their
+    language that are in ``level`` documents or more, for each level up to ``min_df``. A term is in one chunk, so chunks' tokens stand for documents in which each term is as often as in
+    the given ones, or ``min_df`` times if it is in more."""
     small_batches(named.sparkSession)
-    return named.mapInArrow(run, "lang string, source string, terms array<string>, counts array<long>")
+    places = parts_of(named.sparkSession, named.rdd.getNumPartitions(), 1)
+    sources_of = pa.list_(pa.struct([("source", pa.string()), ("count", pa.int64())]))
+    schema = pa.schema([("chunk", pa.int64()), ("level", pa.int32()), ("tokens", pa.list_(pa.string())), ("lang", pa.string()), ("term", pa.string()), ("sources", sources_of)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, cells, groups, place, held = [], [], {}, 0, 0
+        for batch in batches:
+            place = batch.column(0)[0].as_py() if batch.num_rows else place
+            for k in range(batch.num_rows):
+                names, langs, sources, group, term, count, docs = (batch.column(c)[k].values for c in range(1, 8))
+                own = np.array([groups.setdefault(g, len(groups)) for g in zip(langs.to_pylist(), sources.to_pylist(), strict=True)], np.int64)
+                cells.append((own[np.asarray(group)], np.asarray(term).astype(np.int64) + held, np.asarray(count), np.asarray(docs).astype(np.int64)))
+                terms.append(names)
+                held += len(names)
+        if cells:
+            yield from work(terms, [np.concatenate(x) for x in zip(*cells, strict=True)], groups, place)
+        pa.default_memory_pool().release_unused()
+
+    def work(terms: list[pa.Array], cells: list[np.ndarray], groups: dict[tuple[str, str], int], place: int) -> Iterator[pa.RecordBatch]:
+        coded = pa.chunked_array(terms).combine_chunks().dictionary_encode()
+        group, term, count, docs = cells
+        term = np.asarray(coded.indices).astype(np.int64)[term]
+        # groups by language, so that those of a term and language lie together
+        named = sorted(groups)
+        to = np.empty(len(named), np.int64)
+        to[[groups[g] for g in named]] = np.arange(len(named))
+        langs = {lang: k for k, lang in enumerate(dict.fromkeys(lang for lang, _ in named))}
+        lang_of, lang_names = np.array([langs[lang] for lang, _ in named]), pa.array(list(langs))
+        term, group, count, docs, _ = _summed(term << 32 | to[group], count, docs)
+        lang = lang_of[group]
+        # entries: a term of a language
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0))
+        often = np.add.reduceat(docs, first)
+        tokens = pc.binary_join_element_wise(lang_names.take(pa.array(lang[first])), coded.dictionary.take(pa.array(term[first])), " ")
+        for k, i in enumerate(range(0, len(first), CHUNK)):
+            kept = [tokens.slice(i, CHUNK).filter(pa.array(often[i : i + CHUNK] >= level)) for level in range(1, min_df + 1)]
+            ends = pa.array(np.cumsum([0] + [len(x) for x in kept]), pa.int32())
+            yield rows(min_df, chunk=pa.array([place << 32 | k] * min_df, pa.int64()), level=pa.array(range(1, min_df + 1), pa.int32()), tokens=pa.ListArray.from_arrays(ends, pa.concat_arrays(kept)))
+        begin = np.zeros(len(term), np.int64)
+        begin[first] = first
+        cut = np.flatnonzero((np.arange(len(term)) - np.maximum.accumulate(begin)) % ROW == 0)
+        sources = pa.StructArray.from_arrays([pa.array([s for _, s in named]).take(pa.array(group)), pa.array(count, pa.int64())], fields=list(sources_of.value_type))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(term)), pa.int32()), sources)
+        lang, term = lang_names.take(pa.array(lang[cut])), coded.dictionary.take(pa.array(term[cut]))
+        for i in range(0, len(cut), AT_ONCE):
+            yield rows(min(AT_ONCE, len(cut) - i), lang=lang.slice(i, AT_ONCE), term=term.slice(i, AT_ONCE), sources=lists.slice(i, AT_ONCE))
+
+    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+    dealt = slice_sums(named, places).repartitionById(places, "place")
+    return dealt.mapInArrow(run, "chunk long, level int, tokens array<string>, lang string, term string, sources array<struct<source: string, count: long>>")
 
 
 def vocabulary(sums: DataFrame, min_df: int = MIN_DF, most: int = MOST_TERMS) -> DataFrame:
-    """lang, term: the kept terms, from the documents that stand for tasks. They are counted first; where they are more than ``most``, each of several vectorisers is fitted to
-    the terms whose digest falls to it, so that no vocabulary is larger."""
+    """lang, term: the kept terms, from the documents that chunks' tokens stand for. The terms that a chunk keeps are counted first; where all are more than ``most``, each of several vectorisers is fitted to
+    a range of chunks, so that no vocabulary is larger, unless a chunk alone is."""
     spark = sums.sparkSession
-    # a term has no blank, so the last one parts it from its language
-    standing = sums.where("source IS NULL").select(F.transform("terms", lambda t: F.concat(F.col("lang"), F.lit(" "), t)).alias("terms"))
-    kept = stage(standing.select(F.explode("terms").alias("t")).groupBy("t").count().where(F.col("count") >= min_df).select(F.xxhash64("t").alias("h")))
-    n = kept.count()
-    parts = max(1, -(-n // most))
-    while n and (sizes := {r.k: r.n for r in kept.groupBy(F.pmod("h", F.lit(parts)).alias("k")).agg(F.count("*").alias("n")).collect()}) and max(sizes.values()) > most:
-        parts += max(1, parts // 4)
+    standing = sums.where("level IS NOT NULL")
+    sizes = standing.where(F.col("level") == min_df).groupBy("chunk").agg(F.sum(F.size("tokens")).alias("n")).where("n > 0").orderBy("chunk").collect()
+    n = sum(r.n for r in sizes)
+    even = n / max(1, -(-n // most))
+    ranges, held = [], most
+    for r in sizes:
+        if held + r.n > most or held >= even:
+            ranges.append([r.chunk, r.chunk])
+            held = 0
+        ranges[-1][1] = r.chunk
+        held += r.n
     found = None
-    for k in sorted(sizes) if n else ():
-        mine = standing if parts == 1 else standing.select(F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(parts)) == k).alias("terms"))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL).fit(mine)
+    for low, high in ranges:
+        model = CountVectorizer(inputCol="tokens", outputCol="vector", minDF=float(min_df), vocabSize=ALL).fit(standing.where(F.col("chunk").between(low, high)).select("tokens"))
+        # a term has no blank, so the last one parts it from its language
         pairs = [t.rpartition(" ")[::2] for t in model.vocabulary]
         part = stage(spark.createDataFrame(pa.table({"lang": pa.array([a for a, _ in pairs]), "term": pa.array([b for _, b in pairs])})))
         found = part if found is None else found.unionByName(part)
@@ -138,9 +212,8 @@ def cells(named: DataFrame, min_df: int = MIN_DF, most: int = MOST_TERMS) -> tup
     """lang, source, term, count of what is not zero, and lang, v: the number of kept terms where there are some."""
     sums = stage(task_sums(named, min_df))
     kept = vocabulary(sums, min_df, most)
-    each = sums.where("source IS NOT NULL").select("lang", "source", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("lang", "source", F.col("x.terms").alias("term"), F.col("x.counts").alias("count"))
-    found = each.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
-    return stage(found.join(kept, ["lang", "term"]).select("lang", "source", "term", "count")), kept.groupBy("lang").agg(F.count("*").alias("v"))
+    found = sums.where("level IS NULL").select("lang", "term", "sources").join(kept, ["lang", "term"]).select("lang", "term", F.explode("sources").alias("x"))
+    return stage(found.select("lang", "x.source", "term", "x.count")), kept.groupBy("lang").agg(F.count("*").alias("v"))
 
 
 def share(count: Column, total: Column, v: Column) -> Column:
