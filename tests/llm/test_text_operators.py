@@ -266,6 +266,31 @@ def test_pieces_equal_the_library(model):
         assert model.decode(model.encode(text)) == text
 
 
+def test_parts_are_cut_where_no_piece_crosses(model):
+    assert model.parts.findall("▁in,***▁in.\nDer▁▁x_1,▁7in▁") == ["▁in", ",***", "▁in", ".\n", "Der", "▁▁x", "_1,", "▁7", "in", "▁"]
+    other = object.__new__(pieces.Pieces)
+    other.rank = dict.fromkeys(["a", "'", ",", "a'", ",,"], 0.0)
+    assert re.findall(other.cuts(), "▁aa,a▁a,,aa'b,a▁'a▁,'▁") == ["▁aa", ",", "a", "▁a", ",,", "aa'b,a", "▁'a", "▁,'", "▁"]
+    other.rank = {}
+    assert re.findall(other.cuts(), "▁a,▁▁") == ["▁a,", "▁▁"]
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rnd = random.Random(3)
+    names = [x.replace(pieces.META, " ") for x in model.rank]
+    singles = sorted(set("".join(names)))
+    for _ in range(1500):
+        text = "".join(rnd.choice([rnd.choice(names), rnd.choice(singles), rnd.choice("\n\t  _²,.'01éß漢☃\u093e\u0301"), rnd.choice(["foo_", "_,", "a_b,c", "m².", "x2", "'s"])]) for _ in range(rnd.randint(1, 14)))
+        ids = model.encode(text)
+        assert ids.tolist() == sp.encode(text)
+        assert model.decode(ids) == model.decode(ids.tolist()) == text
+
+
+def test_paths_of_words_equal_those_with_scores(model):
+    rnd = random.Random(4)
+    for word in ["▁" + "".join(rnd.choices("etaoinshrdlu", k=rnd.randint(1, 12))) for _ in range(300)]:
+        assert (ids := model.scoring_zero(word)) and [model.names[i] for i in ids] == model.merged(word)
+    assert model.scoring_zero("▁a\nb") == []
+
+
 def test_unigram_scores_equal_brute_force():
     m = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"), "unigram")
     for text in ("▁the", "▁hand", "▁ether", "abcab"):

@@ -3,7 +3,8 @@
 The automaton holds every piece. Reading a text once, it reports by its output links each piece that ends at the
 current character, and each report relaxes the best score there: score[end] = max(score[end - len(piece)] + the piece's
 score). What no piece covers falls back to byte pieces. Where no piece of the vocabulary crosses from a character into a
-following meta space, the best segmentation of a text is that of its parts cut there, so a part's ids are remembered.
+following meta space, the best segmentation of a text is that of its parts cut there, and so it is between two characters that
+no piece has side by side; a part's ids are remembered.
 
 In a unigram vocabulary a path's score is the sum of its pieces'. In a merge (BPE) vocabulary the pieces' scores are ranks
 of merges, and their sum is not what the format maximises: there a path scores zero if every two neighbours on it stay
@@ -16,6 +17,7 @@ import hashlib
 import math
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -52,11 +54,23 @@ class Pieces:
                 self.machine.add_word(name, (len(name), self.rank[name], i))
         self.machine.make_automaton()
         self.merging = kind == "bpe"
+        self.single = {name for name in self.rank if len(name) == 1}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else name.replace(META, " ").encode() for i, name in enumerate(self.names)]
         self.unknown = min(self.rank.values(), default=0.0) - UNKNOWN
         whole = not any(re.search(f"[^{META}]{META}", name) for name in self.rank)
-        self.parts = re.compile(f"{META}*[^{META}]+|{META}+" if whole else "(?s).+")
+        self.parts = re.compile(self.cuts() if whole else "(?s).+")
         self.known: dict[str, bytes] = {}
-        self.apart: dict[tuple, bool] = {}
+        self.apart: dict[tuple | int, bool] = {}
+
+    def cuts(self) -> str:
+        """A pattern of parts that no piece crosses: what meta spaces lead, cut again between letters and others. Characters that a piece has next to a letter
+        are neither; a run that one follows stays with the rest of its word."""
+        letters = {c for name in self.rank for c in name if c.isalpha()}
+        near = {y for name in self.rank for pair in zip(name, name[1:]) for x, y in (pair, pair[::-1]) if x in letters} - letters - {META}
+        plain, tied = ("".join(map(re.escape, sorted(x))) for x in (letters, near))
+        alone = f"(?![{tied}])" if tied else ""
+        runs = [f"[{plain}]++{alone}"] * bool(plain) + [f"[^{plain}{tied}{META}]++{alone}", f"[^{META}]+"]
+        return "|".join(f"{META}*+{run}" for run in runs) + f"|{META}+"
 
     def merged(self, text: str) -> list[str]:
         """A short text merged by rank, the leftmost of equals first."""
@@ -72,8 +86,42 @@ class Pieces:
         """Whether merging leaves two neighbours as they are. Only a merge across the seam can change them."""
         return self.merged(left + right) == [left, right]
 
+    def scoring_zero(self, text: str) -> list[int]:
+        """Ids of the path that scores zero in a merge vocabulary that has every character of the text as a piece: each position has such a path, and no score needs to be held.
+        Empty if there is none."""
+        n = len(text)
+        back, by = [0] * (n + 1), [-2] * (n + 1)
+        apart, size_of = self.apart, len(self.names)
+        for last, (size, _, i) in self.machine.iter(text):
+            end = last + 1
+            if by[end] >= 0:
+                continue
+            start = end - size
+            if start:
+                left = by[start]
+                if left < 0:
+                    continue
+                key = left * size_of + i
+                ok = apart.get(key)
+                if ok is None:
+                    if len(apart) >= REMEMBERED:
+                        apart.clear()
+                    ok = apart[key] = self.stay_apart(self.names[left], self.names[i])
+                if not ok:
+                    continue
+            by[end], back[end] = i, start
+        out: list[int] = []
+        while n:
+            if by[n] < 0:
+                return []
+            out.append(by[n])
+            n = back[n]
+        return out[::-1]
+
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best segmentation; of equal scores, the longest last piece stays."""
+        if self.merging and self.single.issuperset(text) and (ids := self.scoring_zero(text)):
+            return ids
         n = len(text)
         score, back, by = [0.0] + [-math.inf] * n, [0] * (n + 1), [-2] * (n + 1)
         merging, apart, none = self.merging, self.apart, -math.inf
@@ -123,28 +171,27 @@ class Pieces:
         """Ids of a text; spaces become meta spaces, and one leads. An empty text has none."""
         if not text:
             return np.empty(0, dtype=np.uint32)
-        out = []
-        for part in self.parts.findall(META + text.replace(" ", META)):
-            ids = self.known.get(part)
-            if ids is None:
-                ids = np.array(self.viterbi(part), dtype=np.uint32).tobytes()
-                if len(part) <= 64:
-                    if len(self.known) >= REMEMBERED:
-                        self.known.clear()
-                    self.known[part] = ids
-            out.append(ids)
+        parts = self.parts.findall(META + text.replace(" ", META))
+        out = list(map(self.known.get, parts))
+        if None in out:
+            for k, part in enumerate(parts):
+                if out[k] is None:
+                    ids = self.known.get(part)
+                    if ids is None:
+                        ids = array("I", self.viterbi(part)).tobytes()
+                        if len(part) <= 64:
+                            if len(self.known) >= REMEMBERED:
+                                self.known.clear()
+                            self.known[part] = ids
+                    out[k] = ids
         return np.frombuffer(b"".join(out), dtype=np.uint32)
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces joined as UTF-8, meta spaces as spaces, the leading one dropped."""
-        raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self._plain(i) for i in map(int, ids))
+        raw = b"".join(map(self.raw.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         text = raw.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
-    @lru_cache(maxsize=65536)  # noqa: B019
-    def _plain(self, i: int) -> bytes:
-        return self.names[i].replace(META, " ").encode()
-
 
 @lru_cache(maxsize=2)
 def _loaded(model_file: str, kind: str) -> Pieces:
